@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmosaic.llm import mixing, neighbours, overlap, splits, tokens
+from landmosaic.llm import mixing, neighbours, overlap, residue, splits, tokens
 from landmosaic.runtime import table
 
 ID = "geo2vec_internal_id"
@@ -86,6 +86,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p9_sample(spark, sf_dir), table(spark, sf_dir, "mixture_targets"), "source")
 
 
+def p10_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_records(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_cases(spark, sf_dir).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return d.join(p10_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -98,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_sizes": p8_sizes,
     "p9_sample": p9_sample,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_cases": p10_cases,
+    "p10_clean": p10_clean,
 }
 
 SQL: dict[str, str] = {}
