@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmosaic.llm import mixing, neighbours, overlap, residue, splits, tokens
+from landmosaic.llm import encoding, linkage, mixing, neighbours, overlap, residue, splits, tokens
+from landmosaic.functions.geo import to_5186
 from landmosaic.runtime import table
 
 ID = "geo2vec_internal_id"
@@ -50,6 +51,49 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.distinct()
 
 
+def _poi_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = table(spark, sf_dir, "korea_pois_point")
+    a = k.select(F.col("poi_id").alias("id"), "name", F.col("poi_type").alias("kind"), "x", "y", F.concat_ws(" ", "addr_street", "addr_housenumber").alias("addr"), F.col("phone").alias("tel"))
+    r = table(spark, sf_dir, "registry_pois")
+    on_map = (F.abs(F.col("lon") - 127) < 20) & (F.abs("lat") < 80)
+    x, y = to_5186(F.when(on_map, F.col("lon")), F.when(on_map, F.col("lat")))
+    b = r.select(F.col("registry_id").alias("id"), F.col("biz_name").alias("name"), F.col("category_label").alias("kind"), x.alias("x"), y.alias("y"), F.col("road_address").alias("addr"), "tel")
+    return a, b
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.matches(*_poi_lists(spark, sf_dir)).select(F.col("a").alias("poi_id"), F.col("b").alias("registry_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("poi_id", "registry_id")
+
+
+P5_FIELDS = (("bnd_sigungu", "sigungu_nm", "sido_cd", "sigungu_cd"), ("togieeum_polygon_pois", "source_shp", "source_system", "row_id"))
+
+
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = None
+    for name, value, source, _ in P5_FIELDS:
+        t = table(spark, sf_dir, name).select(F.lit(name).alias("field"), F.col(source).cast("string").alias("source"), F.col(value).alias("value")).distinct()
+        v = t if v is None else v.unionByName(t)
+    return encoding.misread_values(encoding.durable(v))
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = encoding.durable(p5_values(spark, sf_dir).groupBy("field", "value").agg(F.max_by("chain", "probability").alias("chain"), F.max_by("restored", "probability").alias("restored"), F.max("probability").alias("probability")))
+    out = None
+    for name, value, _, key in P5_FIELDS:
+        t = table(spark, sf_dir, name).where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_key"), F.col(value).alias("value"))
+        t = t.join(bad.where(F.col("field") == name).drop("field"), "value").distinct()
+        out = t if out is None else out.unionByName(t)
+    return out.select("table_name", "record_key", "value", "chain", "restored", "probability")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_records(spark, sf_dir).select("table_name", "record_key").distinct()
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "scene_entities").select(ID, "entity_key", "building_id", "geometry_wkt").join(_splits(spark, sf_dir), ID)
     return overlap.split_overlaps(e, "entity_key", "building_id", "geometry_wkt", "split")
@@ -105,6 +149,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_balance": p1_balance,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
+    "p5_found": p5_found,
+    "p5_values": p5_values,
+    "p5_records": p5_records,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p8_ids": p8_ids,
