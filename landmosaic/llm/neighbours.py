@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +37,24 @@ class Codes:
 
 
 def usable(df: DataFrame, key: str, dim_column: str, vector: str, dim: int) -> DataFrame:
-    """(key, v) with v of ``dim`` finite elements, not all zero, scaled to length 1. One row per key: of several, the greatest."""
-    v = F.col(vector).cast("array<double>")
-    ok = (F.col(dim_column) == dim) & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    one = df.where(F.col(key).isNotNull() & F.coalesce(ok, F.lit(False))).groupBy(key).agg(F.max(vector).alias("v"))
-    top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
-    scaled = one.withColumn("top", top).withColumn("w", F.transform("v", lambda x: x.cast("double") / F.col("top")))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("norm", norm).select(key, F.transform("w", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    """(key, v) with v of ``dim`` finite elements, not all zero, scaled to length 1. One row per key: of several, the greatest. Null keys are left out."""
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            right = pa.array(size == dim)
+            keys, lists = b.column(0).filter(right), lists.filter(right)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # null elements become NaN
+            top = np.abs(x).max(axis=1, initial=0.0)
+            good = np.isfinite(top) & (top > 0)
+            x = x[good] / top[good, None]
+            x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+            v = pa.ListArray.from_arrays(np.arange(0, x.size + 1, dim, dtype=np.int32), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), v], names=["k", "v"])
+
+    slim = df.where(F.col(key).isNotNull() & (F.col(dim_column) == dim)).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<float>").alias("v"))
+    return slim.mapInArrow(scale, "k bigint, v array<float>").groupBy("k").agg(F.max("v").alias("v")).withColumnRenamed("k", key)
 
 
 def learn_codes(sample: np.ndarray, n: int, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 11) -> Codes:
