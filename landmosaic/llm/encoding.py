@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ READ_AS = ("latin-1", "web-1252", "cp1251", "mac-roman", "gb18030", "cp932", "bi
 WRITTEN_IN = ("utf-8", "cp949")
 
 #: Number of code points of each kind of character, over which unseen ones are spread.
-_KINDS = {"ascii": 95, "hangul": 11172, "han": 21000, "kana": 250, "half": 160, "latin": 600, "cyrillic": 256, "greek": 200, "jamo": 256, "sign": 5000, "broken": 140_000}
+_KINDS = {"ascii": 95, "hangul": 2350, "rare": 8822, "han": 21000, "kana": 250, "half": 160, "latin": 600, "cyrillic": 256, "greek": 200, "jamo": 256, "sign": 5000, "broken": 140_000}
 
 
 def _encode(s: str, codec: str) -> bytes:
@@ -61,12 +62,13 @@ def _name(chain: tuple[tuple[str, str], ...]) -> str:
     return ", ".join(f"{w} read as {r}" for r, w in reversed(chain))
 
 
+@lru_cache(maxsize=200_000)
 def kind(c: str) -> str:
     o = ord(c)
     if 32 <= o < 127 or c in "\t\n":
         return "ascii"
     if 0xAC00 <= o <= 0xD7A3:
-        return "hangul"
+        return "hangul" if len(c.encode("euc_kr", "ignore")) == 2 else "rare"  # the 2,350 syllables in use, and the others
     if 0x4E00 <= o <= 0x9FFF:
         return "han"
     if 0x1100 <= o <= 0x11FF or 0x3130 <= o <= 0x318F:
