@@ -18,8 +18,12 @@ from landmosaic.runtime import ranked, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 c, lit = F.col, F.lit
-#: Time stamps as whole numbers, which both engines print alike.
-AT = F.expr("unix_micros(ingested_at) AS at")
+
+
+def at_() -> Column:
+    """Time stamps as whole numbers, which both engines print alike."""
+    return F.expr("unix_micros(ingested_at) AS at")
+
 
 
 class Tables:
@@ -143,7 +147,7 @@ def _corridor(t: Tables) -> DataFrame:
 
 q("P12", f"SELECT id, coalesce(comp <= 0.3 AND aw <= 50 AND diag >= 20 AND (asp >= 8 OR comp <= 0.2 OR aw <= 4), false) AS corridor FROM (SELECT id, 4*pi()*area/((2*((xmax-xmin)+(ymax-ymin)))*(2*((xmax-xmin)+(ymax-ymin)))) AS comp, area/greatest(xmax-xmin,ymax-ymin) AS aw, sqrt((xmax-xmin)*(xmax-xmin)+(ymax-ymin)*(ymax-ymin)) AS diag, greatest(xmax-xmin,ymax-ymin)/least(xmax-xmin,ymax-ymin) AS asp FROM {BOX})")(_corridor)
 q("P13", "SELECT row_id, epoch_us(ingested_at) AS at, regexp_matches(coalesce(dgm_nm,'NA') || ' ' || coalesce(lclas_cl,'NA'), '(주차장|공원|NA)') AS facility FROM togieeum_polygon_pois")(
-    lambda t: t.togieeum_polygon_pois.select("row_id", AT, text.pasted(" ", "dgm_nm", "lclas_cl").rlike("(주차장|공원|NA)").alias("facility"))
+    lambda t: t.togieeum_polygon_pois.select("row_id", at_(), text.pasted(" ", "dgm_nm", "lclas_cl").rlike("(주차장|공원|NA)").alias("facility"))
 )
 q("P14", "SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 40")(lambda t: t.events.orderBy(F.desc("value"), "event_id").limit(40).select("event_id"))
 q("P15", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")(lambda t: t.customer.join(t.orders.select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
@@ -160,7 +164,7 @@ q("J04", "SELECT coalesce(a.k, b.k) AS k, coalesce(na, 0) AS na, coalesce(nb, 0)
     lambda t: relational.null_safe_join(t.documents.groupBy(c("lang").alias("k")).agg(F.count(lit(1)).alias("na")), t.documents.groupBy(c("source").alias("k")).agg(F.count(lit(1)).alias("nb")), ["k"], "full").fillna(0, ["na", "nb"]).select("k", "na", "nb")
 )
 q("J05", "SELECT d.row_id, epoch_us(d.ingested_at) AS at, m.sigungu_nm FROM togieeum_polygon_pois d LEFT JOIN bnd_sigungu m ON d.region_sgg_code = m.sigungu_cd")(
-    lambda t: t.togieeum_polygon_pois.select("row_id", "ingested_at", "region_sgg_code").join(t.bnd_sigungu.select("sigungu_cd", "sigungu_nm"), c("region_sgg_code") == c("sigungu_cd"), "left").select("row_id", AT, "sigungu_nm")
+    lambda t: t.togieeum_polygon_pois.select("row_id", "ingested_at", "region_sgg_code").join(t.bnd_sigungu.select("sigungu_cd", "sigungu_nm"), c("region_sgg_code") == c("sigungu_cd"), "left").select("row_id", at_(), "sigungu_nm")
 )
 q("J06", "SELECT s.s_suppkey, coalesce(c.c_acctbal, s.s_acctbal) AS bal FROM supplier s LEFT JOIN customer c ON s.s_suppkey = c.c_custkey AND c.c_acctbal > 0")(
     lambda t: t.supplier.join(t.customer.where("c_acctbal > 0"), c("s_suppkey") == c("c_custkey"), "left").select("s_suppkey", F.coalesce("c_acctbal", "s_acctbal").alias("bal"))
@@ -327,7 +331,7 @@ q("U04", "SELECT DISTINCT region, grid_type FROM scene_grid")(lambda t: t.scene_
 q("U05", "SELECT scene_id FROM scene_grid WHERE grid_type = 'nonoverlap' EXCEPT SELECT scene_id FROM scene_entities")(lambda t: t.scene_grid.where("grid_type = 'nonoverlap'").select("scene_id").subtract(t.scene_entities.select("scene_id")))
 # ---- order-dependent -------------------------------------------------------------------------------------------------
 q("D03", "SELECT row_id, epoch_us(ingested_at) AS at, row_number() OVER (PARTITION BY coalesce(major_category,'NA') || '|' || coalesce(semantic_type_key,'NA') || '|' || coalesce(geom_hash,'NA') ORDER BY row_id, ingested_at) > 1 AS exact_duplicate FROM togieeum_polygon_pois")(
-    lambda t: t.togieeum_polygon_pois.select("row_id", AT, relational.duplicate_flag([text.pasted("|", "major_category", "semantic_type_key", "geom_hash")], ["row_id", "ingested_at"]).alias("exact_duplicate"))
+    lambda t: t.togieeum_polygon_pois.select("row_id", at_(), relational.duplicate_flag([text.pasted("|", "major_category", "semantic_type_key", "geom_hash")], ["row_id", "ingested_at"]).alias("exact_duplicate"))
 )
 _NEAR = ["major_category", "semantic_type_key", "xmin", "ymin", "xmax", "ymax"]
 
@@ -347,17 +351,20 @@ q("D08", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM eve
 q("D01")(lambda t: planar.thin(t.pts.withColumn("p", F.xxhash64("id")), "id", "p", 150.0).select("id"))
 q("D11", "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 LIMIT 30")(lambda t: t.events.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("event_id")).orderBy("event_id").limit(30))
 q("D13", "SELECT poi_id, epoch_us(ingested_at) AS at, CASE WHEN addr_street IS NOT NULL THEN 'addr_street' WHEN phone IS NOT NULL THEN 'phone' WHEN name IS NOT NULL THEN 'name' END AS key, coalesce(addr_street, phone, name) AS value FROM korea_pois_point")(
-    lambda t: t.korea_pois_point.select("poi_id", "ingested_at", text.first_tag(["addr_street", "phone", "name"]).alias("t")).select("poi_id", AT, c("t.key").alias("key"), c("t.value").alias("value"))
+    lambda t: t.korea_pois_point.select("poi_id", "ingested_at", text.first_tag(["addr_street", "phone", "name"]).alias("t")).select("poi_id", at_(), c("t.key").alias("key"), c("t.value").alias("value"))
 )
 # ---- geometry --------------------------------------------------------------------------------------------------------
-_RING = planar.rectangle(c("xmin"), c("ymin"), c("xmax"), c("ymax"))
-q("G01", f"SELECT id, area FROM {BOX}")(lambda t: t.box.select("id", planar.ring_area(_RING).alias("area")))
-q("G02", f"SELECT id, 2*((xmax-xmin)+(ymax-ymin)) AS perimeter FROM {BOX}")(lambda t: t.box.select("id", planar.ring_length(_RING).alias("perimeter")))
+def _ring() -> Column:
+    return planar.rectangle(c("xmin"), c("ymin"), c("xmax"), c("ymax"))
+
+
+q("G01", f"SELECT id, area FROM {BOX}")(lambda t: t.box.select("id", planar.ring_area(_ring()).alias("area")))
+q("G02", f"SELECT id, 2*((xmax-xmin)+(ymax-ymin)) AS perimeter FROM {BOX}")(lambda t: t.box.select("id", planar.ring_length(_ring()).alias("perimeter")))
 q("G03", f"SELECT id, x1 - x0 AS length FROM {LINE}")(lambda t: t.line.select("id", planar.line_length(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("length")))
 q("G04", f"SELECT kind, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM {BOX} GROUP BY 1")(lambda t: t.box.groupBy("kind").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")))
-q("G05", f"SELECT id, round((xmin+xmax)/2, 6) AS cx, round((ymin+ymax)/2, 6) AS cy FROM {BOX} WHERE area > 0")(lambda t: t.box.where("area > 0").withColumn("g", planar.ring_centroid(_RING)).select("id", r6(c("g.x"), "cx"), r6(c("g.y"), "cy")))
+q("G05", f"SELECT id, round((xmin+xmax)/2, 6) AS cx, round((ymin+ymax)/2, 6) AS cy FROM {BOX} WHERE area > 0")(lambda t: t.box.where("area > 0").withColumn("g", planar.ring_centroid(_ring())).select("id", r6(c("g.x"), "cx"), r6(c("g.y"), "cy")))
 q("G07", "SELECT geo2vec_internal_id, epoch_us(ingested_at) AS at, CAST(length(geometry_wkt) - length(replace(geometry_wkt, ',', '')) AS INTEGER) AS vertices FROM scene_entities WHERE geometry_wkt IS NOT NULL")(
-    lambda t: t.scene_entities.where("geometry_wkt IS NOT NULL").select("geo2vec_internal_id", AT, (F.size(F.split("geometry_wkt", ",")) - 1).alias("vertices"))
+    lambda t: t.scene_entities.where("geometry_wkt IS NOT NULL").select("geo2vec_internal_id", at_(), (F.size(F.split("geometry_wkt", ",")) - 1).alias("vertices"))
 )
 q("G09", f"SELECT id, round(4*pi()*area/pow(2*((xmax-xmin)+(ymax-ymin)), 2), 6) AS compactness, round(greatest(xmax-xmin,ymax-ymin)/least(xmax-xmin,ymax-ymin), 6) AS aspect, round(ln(1+area), 6) AS log_area FROM {BOX} WHERE area > 0")(
     lambda t: t.box.where("area > 0").withColumns(planar.shape_metrics(c("area"), 2 * ((c("xmax") - c("xmin")) + (c("ymax") - c("ymin"))), c("xmax") - c("xmin"), c("ymax") - c("ymin"))).select("id", r6(c("compactness"), "compactness"), r6(c("aspect"), "aspect"), r6(c("log_area"), "log_area"))
