@@ -15,15 +15,15 @@ from landmosaic.runtime import durable, width
 
 #: Places of one shop lie no further apart than this, unless a coordinate is wrong.
 NEAR_M = 80.0
-#: A block with more rows on one side is split by the beginning of the name.
+#: Closer places of like names teach which kinds go together.
+SURE_M = 40
+#: Rows of one side of a block that one task pairs; a block with more is paired in pieces.
 CROWD = 200
-#: A name block with more rows is split by the place.
+#: A name block with more rows on one side gives only the pairs that the rules leave possible.
 NAME_CROWD = 24
 #: Iterations of the alternating directions, and how many lie between two writes to the shared folder.
 STEPS, STEPS_PER_WRITE = 18, 6
 RHO = 1.0
-#: Letter triples that the proper names of a pair share at least.
-SHARED = 3
 
 # Revised Romanization by position in the syllable; legal forms.
 _INITIAL = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
@@ -76,11 +76,6 @@ def _heads(s: str | None) -> list[str]:
     return sorted({r for r in (romanize(w[:4] if "가" <= w[0] <= "힣" else w) for w in words) if len(r) > 1})
 
 
-def grams(form: str) -> set[str]:
-    f = "^" + form.replace(" ", "") + "$"
-    return {f[i : i + 3] for i in range(len(f) - 2)} or {f}
-
-
 def digits(s: str | None) -> str | None:
     """A telephone number's national digits; None for fewer than 7."""
     d = re.sub(r"\D", "", s or "")
@@ -104,14 +99,14 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "id": b["id"], "kind": b["kind"], "x": b["x"], "y": b["y"], "forms": forms,
-                "grams": [sorted(set().union(*(grams(x.split(" ")[0]) for x in f))) if f else [] for f in forms],
+                "solid": [sorted({x.replace(" ", "") for x in f}) for f in forms], "branched": [any(_branch(x) for x in f) for f in forms],
                 "heads": [_heads(n) for n in b["name"]],
                 "addr": [address(a) for a in b["addr"]], "tel": [digits(t) for t in b["tel"]],
             }
         )
 
 
-CLEAN = "id string, kind string, x double, y double, forms array<string>, grams array<string>, heads array<string>, addr string, tel string"
+CLEAN = "id string, kind string, x double, y double, forms array<string>, solid array<string>, branched boolean, heads array<string>, addr string, tel string"
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -122,44 +117,57 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def _blocks(side: DataFrame, probe: bool) -> DataFrame:
-    """(block, id, heads): one row for each block that a record belongs to."""
+    """(id, placed, km, solid, block): one row for each block that a record belongs to, with what its pairs in a crowded name block go by."""
     step = [-1, 0, 1] if probe else [0]
-    cell = lambda c, d: F.floor(F.col(c) / NEAR_M) + d
-    near = F.array(*[F.concat_ws(",", F.lit("xy"), cell("x", i).cast("string"), cell("y", j).cast("string")) for i in step for j in step])
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+
+    def cells(mark: str, size: float) -> F.Column:
+        cell = lambda c, d: (F.floor(F.col(c) / size) + d).cast("string")
+        return F.when(placed, F.array(*[F.concat_ws(",", F.lit(mark), cell("x", i), cell("y", j)) for i in step for j in step])).otherwise(F.array().cast("array<string>"))
+
     keys = F.concat(
-        F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), near).otherwise(F.array().cast("array<string>")),
+        cells("xy", NEAR_M),
         F.array_compact(F.array(F.concat(F.lit("tel,"), "tel"), F.concat(F.lit("addr,"), "addr"))),
         F.transform("heads", lambda h: F.concat(F.lit("name,"), h)),
     )
-    return side.select("id", "heads", F.explode(F.array_distinct(keys)).alias("block"))
+    return side.select("id", placed.alias("placed"), cells("km", 1000.0).alias("km"), "solid", F.explode(F.array_distinct(keys)).alias("block"))
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct (a, b) that share a place cell, telephone, address or beginning of a name.
 
-    A crowded block (more than CROWD rows on a side) gives only those of its
-    pairs whose names begin alike: in a crowd the block alone says nothing. A
-    crowded name block (more than NAME_CROWD) gives those that lie in the same
-    or a neighbouring cell of 1 km; a record without coordinates there has
-    only its telephone and address to go by, as a common name tells nothing.
+    A crowded block (more than CROWD rows on a side) is cut into pieces of
+    CROWD rows, and every piece of one side meets every piece of the other.
+    A crowded name block (more than NAME_CROWD) gives all pairs that can
+    become a match: those in the same or a neighbouring cell of 1 km, those
+    of which one has no coordinates, in pieces as above, and those of equal
+    whole names. Others lie more than NEAR_M apart, so that with names that
+    differ at all the rules "far" and "prior" are stronger than "name", "kind"
+    and "branch" together; pairs that agree in telephone or address are in
+    those blocks.
     """
     ba, bb = _blocks(a, False), _blocks(b, True)
-    size = ba.groupBy("block").agg(F.count(F.lit(1)).alias("n")).unionByName(bb.groupBy("block").agg(F.count(F.lit(1)).alias("n"))).groupBy("block").agg(F.max("n").alias("n"))
-    crowd = durable(size.where(F.col("n") > F.when(F.col("block").startswith("name,"), NAME_CROWD).otherwise(CROWD)).select("block", F.lit(True).alias("crowded")))
-    km = lambda s, steps: s.select(
-        F.col("id").alias("kid"),
-        F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array(*[F.concat_ws(",", (F.floor(F.col("x") / 1000) + i).cast("string"), (F.floor(F.col("y") / 1000) + j).cast("string")) for i in steps for j in steps])).otherwise(F.array().cast("array<string>")).alias("km"),
-    )
+    count = lambda d, n, m: d.groupBy("block").agg(F.count(F.lit(1)).alias(n), F.count_if(~F.col("placed")).alias(m))
+    size = count(ba, "na", "ua").join(count(bb, "nb", "ub"), "block")
+    crowd = durable(size.where(F.greatest("na", "nb") > F.when(F.col("block").startswith("name,"), NAME_CROWD).otherwise(CROWD)))
+    parts = lambda n: F.ceil(F.col(n) / CROWD).cast("int")
+
+    def keyed(blocks: DataFrame, left: bool) -> DataFrame:
+        def pieces(mark: str, na: str, nb: str) -> F.Column:
+            """The pairs of pieces that the row takes part in."""
+            own, other = (parts(na), parts(nb)) if left else (parts(nb), parts(na))
+            mine = F.pmod(F.xxhash64("id"), own).cast("string")
+            pair = lambda o: F.concat_ws(",", F.lit(mark), *((mine, o.cast("string")) if left else (o.cast("string"), mine)))
+            return F.transform(F.sequence(F.lit(1), other), lambda o: pair(o - 1))
 
-    def keyed(blocks: DataFrame, side: DataFrame, steps: list[int]) -> DataFrame:
-        m = blocks.join(crowd, "block", "left").join(km(side, steps), F.col("id") == F.col("kid"), "left")
-        fine = F.when(F.col("block").startswith("name,"), F.col("km")).otherwise(F.col("heads"))
-        sub = F.when(F.col("crowded"), fine).otherwise(F.array(F.lit("")))
-        return m.select("id", "block", F.explode(sub).alias("sub"))
+        none = F.array().cast("array<string>")
+        bare = lambda mark, na, nb, of_left, n: F.when((F.col(n) > 0) & (~F.col("placed") if left == of_left else F.lit(True)), pieces(mark, na, nb)).otherwise(none)
+        fine = F.concat("km", F.transform("solid", lambda f: F.concat(F.lit("form,"), f)), bare("bare a", "ua", "nb", True, "ua"), bare("bare b", "na", "ub", False, "ub"))
+        sub = F.when(F.col("na").isNull(), F.array(F.lit(""))).when(F.col("block").startswith("name,"), fine).otherwise(pieces("", "na", "nb"))
+        return blocks.join(crowd, "block", "left").select("id", "block", F.explode(sub).alias("sub"))
 
-    left = keyed(ba, a, [0]).withColumnRenamed("id", "a")
-    right = keyed(bb, b, [-1, 0, 1]).withColumnRenamed("id", "b")
-    return left.join(right, ["block", "sub"]).select("a", "b").distinct()
+    la, lb = keyed(ba, True).withColumnRenamed("id", "a"), keyed(bb, False).withColumnRenamed("id", "b")
+    return la.join(lb, ["block", "sub"]).select("a", "b").distinct()
 
 
 def _edit(a: str, b: str) -> int:
@@ -226,15 +234,22 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def evidence(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, ka, kb, gap, tel, addr, name, branch): distance in metres; 1, -1 or null for equal, unequal or missing telephone and address; name similarity; branch words.
 
-    Pairs whose proper names have fewer than SHARED letter triples in common,
-    and neither telephone nor address, are left out: with such names all other
-    rules together can't outweigh the name rule and the prior.
+    Left out are pairs of named records with neither telephone nor address in
+    common that can't become a match whatever their names and kinds are, and
+    those that only equal names could save, and whose names aren't equal.
+    Pairs close enough to teach which kinds go together stay.
     """
     agree = lambda c: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), 1.0).when(F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull(), -1.0).alias(c)
     joined = pairs.join(a.alias("a"), F.col("a") == F.col("a.id")).join(b.alias("b"), F.col("b") == F.col("b.id"))
     gap = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("gap")
-    hopeful = (F.size(F.array_intersect("a.grams", "b.grams")) >= SHARED) | (F.col("a.tel") == F.col("b.tel")) | (F.col("a.addr") == F.col("b.addr")) | (F.size("a.forms") == 0) | (F.size("b.forms") == 0)
-    joined = joined.where(F.coalesce(hopeful, F.lit(False)))
+    w, no = RULES, F.lit(0.0)
+    differ = lambda c, part: F.when(F.col(f"a.{c}") != F.col(f"b.{c}"), w[c] * part).otherwise(no)
+    # what is left for the name: at 0 or less only equal names do
+    room = w["kind"] - w["prior"] + F.when(F.col("a.branched") & F.col("b.branched"), w["branch"]).otherwise(no) - differ("tel", 0.5) - differ("addr", 0.6)
+    room = room + F.coalesce(F.greatest(no, 1 - gap / NEAR_M) * w["near"] - F.when(gap > NEAR_M, w["far"]).otherwise(no), no) + w["name"]
+    same = lambda c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
+    hopeful = (room > 1e-6) | ((room > -1e-6) & F.arrays_overlap("a.solid", "b.solid")) | F.coalesce(gap < SURE_M, F.lit(False)) | same("tel") | same("addr") | (F.size("a.forms") == 0) | (F.size("b.forms") == 0)
+    joined = joined.where(hopeful)
     flat = joined.select("a", "b", F.col("a.kind").alias("ka"), F.col("b.kind").alias("kb"), gap, agree("tel"), agree("addr"), F.col("a.forms").alias("forms_a"), F.col("b.forms").alias("forms_b"))
     # few bytes, much work: adaptive execution would put all into a few tasks
     return flat.repartition(width(flat), "a", "b").mapInPandas(_similar, "a string, b string, ka string, kb string, gap double, tel double, addr double, name double, branch double")
@@ -245,7 +260,7 @@ def kind_affinity(seen: DataFrame) -> DataFrame:
 
     Kinds are words of a codebook; there is one row for each pair of kinds met.
     """
-    sure = seen.where("ka IS NOT NULL AND kb IS NOT NULL AND (tel = 1 OR (addr = 1 AND name > 0.85) OR (name > 0.95 AND gap < 40))")
+    sure = seen.where(f"ka IS NOT NULL AND kb IS NOT NULL AND (tel = 1 OR (addr = 1 AND name > 0.85) OR (name > 0.95 AND gap < {SURE_M}))")
     n = sure.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("n"))
     of_a, of_b = Window.partitionBy("ka"), Window.partitionBy("kb")
     share = F.greatest(F.col("n") / F.sum("n").over(of_a), F.col("n") / F.sum("n").over(of_b))
