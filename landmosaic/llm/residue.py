@@ -67,13 +67,14 @@ def _words(t: str) -> list[str]:
 
 
 def passages(text: str | None) -> list[dict]:
-    """The passages of a text: {feats, seed, n, slots, long}.
+    """The passages of a text: {feats, seed, n, slots, long, of}.
 
     ``feats`` are hashed features, ``seed`` the trusted class (0: none), ``n``
     the number of words. Placeholder shapes become one word; one in quotes, in
     a code fence or glued to a path or a program's word is another word, since
     such texts quote or hold code. ``slots`` has, for each open placeholder,
-    the bucket of its neighbour words times 64 plus the bit of its own string.
+    the bucket of its neighbour words times 64 plus the bit of its own string;
+    ``of`` is a hash of the text.
     """
     if text is None or not text.strip():
         return []
@@ -120,8 +121,9 @@ def passages(text: str | None) -> list[dict]:
         seed = 2 if _FILLER.search(bare) else 3 if _STATUS.search(low) or _SCRIPT.search(bare) else 0
         out.append({"feats": sorted({_hash(f, half) for f in feats}), "seed": seed, "n": len(plain), "slots": slots})
     page = len(text) <= SHORT and "```" not in text and any(o["seed"] == 3 for o in out)
+    of = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
     for o in out:
-        o["long"] = len(text) > LONG
+        o["long"], o["of"] = len(text) > LONG, of
         if o["seed"] == 3 and not page:
             o["seed"] = 0
         elif not o["seed"] and page and not o["slots"]:
@@ -130,7 +132,7 @@ def passages(text: str | None) -> list[dict]:
 
 
 
-_PASSAGE = pa.schema([("key", pa.int64()), ("seed", pa.int8()), ("n", pa.int32()), ("feats", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())), ("long", pa.bool_())])
+_PASSAGE = pa.schema([("key", pa.int64()), ("seed", pa.int8()), ("n", pa.int32()), ("feats", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())), ("long", pa.bool_()), ("of", pa.int64())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,31 +143,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _PASSAGE], schema=_PASSAGE)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket of neighbour words: how many open placeholders, and the bits of their strings."""
-    count, bits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.uint64)
-    for b in batches:
-        s = b.column(4).flatten().to_numpy(zero_copy_only=False)
-        np.add.at(count, s // 64, 1)
-        np.bitwise_or.at(bits, s // 64, np.uint64(1) << (s % 64).astype(np.uint64))
-    at = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at]), pa.array(bits[at].view(np.int64))], names=["f", "count", "bits"])
-
-
 def context_classes(cut: DataFrame) -> np.ndarray:
-    """Per bucket of neighbour words: 1 if placeholders there differ, -1 if it is a fixed phrase, 0 if too rare to tell.
+    """Per bucket of neighbour words: 1 if placeholders there differ, -1 if one string recurs in several distinct texts, 0 if too rare to tell.
 
-    What fills a template's gap varies; where one string recurs in the same
-    place, the text speaks of a placeholder or means something else by it.
+    What fills a template's gap varies, so differing strings are trusted. One
+    string that recurs may be a way of speaking or a form letter: it doesn't
+    teach the model what a placeholder's sentence is like, but is judged by
+    it. Copies of a text count once.
     """
-    got = cut.mapInArrow(_contexts, "f bigint, count bigint, bits bigint").groupBy("f").agg(F.sum("count").alias("count"), F.expr("bit_count(bit_or(bits))").alias("kinds")).toPandas()
+    slots = cut.where(F.size("slots") > 0).select("of", F.explode("slots").alias("s"))
+    by = slots.groupBy(F.shiftright("s", 6).alias("f")).agg(F.countDistinct("of").alias("count"), F.expr("bit_count(bit_or(shiftleft(1L, s & 63)))").alias("kinds"))
+    got = by.toPandas()  # one row for each of the BUCKETS at most
     out = np.zeros(BUCKETS, np.int8)
     kinds, count = got["kinds"].to_numpy(), got["count"].to_numpy()
     out[got["f"].to_numpy(dtype=int)] = np.where(kinds >= 4, 1, np.where((count >= 4) & (kinds == 1), -1, 0))
     return out
 
 
-def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray | None, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray | None, contexts: np.ndarray, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, passage of each feature, class probabilities of each passage)."""
     n = b.num_rows
 
@@ -177,7 +172,8 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
     slots, at = flat(4)
     kind = contexts[slots // 64]
     varied = np.bincount(at, weights=kind == 1, minlength=n) > 0
-    fixed = (np.bincount(at, weights=kind == -1, minlength=n) == np.bincount(at, minlength=n)) & ~varied
+    some = np.bincount(at, minlength=n)
+    fixed = (some > 0) & (np.bincount(at, weights=kind == -1, minlength=n) == some)
     seed = b.column(1).to_numpy(zero_copy_only=False).astype(int)
     seed = np.where((seed == 0) & varied, 1, seed)
     if model is None:
@@ -188,8 +184,8 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
         half = np.zeros(n, int)
         half[row] = feats // HALF
         score += prior[half]
-        # no unfilled placeholder without one outside fixed phrases; no error page of that length
-        score[fixed, 1] = -np.inf
+        # no unfilled placeholder without an open one; no error page of that length
+        score[(some == 0) | (fixed & training), 1] = -np.inf
         score[b.column(5).to_numpy(zero_copy_only=False).astype(bool), 3] = -np.inf
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
@@ -219,7 +215,7 @@ def learn(cut: DataFrame, contexts: np.ndarray, rounds: int = ROUNDS) -> tuple[n
             for b in batches:
                 if not b.num_rows:
                     continue
-                feats, row, p = _posterior(b, *held.value)
+                feats, row, p = _posterior(b, *held.value, training=True)
                 half = np.zeros(b.num_rows, int)
                 half[row] = feats // HALF
                 for c in range(len(CLASSES)):
@@ -260,7 +256,7 @@ def residue_records(df: DataFrame, key: str, text: str) -> DataFrame:
     out. With no trusted passage at all nothing comes out.
     """
     slim = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    cut = durable(slim.mapInArrow(_cut, "key bigint, seed tinyint, n int, feats array<int>, slots array<int>, long boolean"))
+    cut = durable(slim.mapInArrow(_cut, "key bigint, seed tinyint, n int, feats array<int>, slots array<int>, long boolean, of bigint"))
     contexts = context_classes(cut)
     model, prior = learn(cut, contexts)
     held = df.sparkSession.sparkContext.broadcast((model, prior, contexts))

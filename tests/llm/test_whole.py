@@ -1,6 +1,6 @@
 """Cases that a bound on rows, a threshold or a subset once left out."""
 
-from landmosaic.llm import linkage
+from landmosaic.llm import linkage, residue
 
 
 def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
@@ -24,3 +24,18 @@ def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
     assert {(f"c{i}", f"d{i}") for i in range(10)} <= got
     assert {(f"t{i}", f"u{i}") for i in range(10)} <= got
     assert ("s", "r") in got
+
+
+def _letters():
+    body = [f"The survey of block {i} found {2 + i % 90} wells and {3 + i * 7 % 90} sheds near the old road. The road is {i} metres long and closes at night." for i in range(600)]
+    slots = ["{{addr}}", "${street}", "<%= region %>", "[contact]", "__ADDRESS__", "{% area %}", "@@NAME@@", "{{site}}"]
+    rows = [*enumerate(body), *((1000 + i, f"The office at {slots[i % 8]} will answer. {body[i]}") for i in range(40))]
+    rows += [(2000 + i, f"Error 50{i % 5}: Bad Gateway\nThe page is temporarily unavailable.") for i in range(20)]
+    return rows, body
+
+
+def test_a_form_letter_is_found_however_often_it_occurs(spark):
+    rows, _ = _letters()
+    rows += [(3000 + i, f"Dear {{{{name}}}}, the office will answer you.{' The road is closed at night.' * (i % 3)}") for i in range(9)]
+    got = {r["k"] for r in residue.residue_records(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()}
+    assert {3000 + i for i in range(9)} <= got and not any(k < 1000 for k in got)
