@@ -23,7 +23,7 @@ MIX = (0.3, 0.6, 0.3, 0.3)
 ROUNDS = 4
 #: A trusted error record is no longer than this and no passage of it is code.
 SHORT = 200
-#: A text longer than this doesn't consist of an error message.
+#: A text longer than this doesn't teach the model what an error message is like; it is judged like any other.
 LONG = 280
 
 # Shapes of placeholders, openings of error messages, words of filler.
@@ -184,9 +184,10 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
         half = np.zeros(n, int)
         half[row] = feats // HALF
         score += prior[half]
-        # no unfilled placeholder without an open one; no error page of that length
+        # no unfilled placeholder without an open one; long texts teach no errors, but are judged
         score[(some == 0) | (fixed & training), 1] = -np.inf
-        score[b.column(5).to_numpy(zero_copy_only=False).astype(bool), 3] = -np.inf
+        if training:
+            score[b.column(5).to_numpy(zero_copy_only=False).astype(bool), 3] = -np.inf
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)

@@ -39,3 +39,10 @@ def test_a_form_letter_is_found_however_often_it_occurs(spark):
     rows += [(3000 + i, f"Dear {{{{name}}}}, the office will answer you.{' The road is closed at night.' * (i % 3)}") for i in range(9)]
     got = {r["k"] for r in residue.residue_records(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()}
     assert {3000 + i for i in range(9)} <= got and not any(k < 1000 for k in got)
+
+
+def test_a_long_error_page_is_found(spark):
+    rows, body = _letters()
+    rows += [(4000, "Home\nAbout\nError 503: Bad Gateway\n" + "\n".join(["The page is temporarily unavailable."] * 9)), (4001, "\n".join(body[:5]) + "\nError 503: Bad Gateway")]
+    got = {r["k"] for r in residue.residue_records(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()}
+    assert 4000 in got and 4001 not in got and not any(k < 1000 for k in got)
