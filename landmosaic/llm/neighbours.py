@@ -217,6 +217,55 @@ def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: i
     va, vb = cls.select(F.col("id").alias("a"), F.col("v").alias("va")), cls.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     scored = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(dot, "a bigint, b bigint, cosine double")
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d"), "cosine"), F.struct(F.col("b").alias("c"), F.col("a").alias("d"), "cosine"))).alias("x")).select("x.*")
+    return _lists(flat, cls, both, k)
+
+
+def _top(k: int):
+    """In a pair of blocks, the k best of the other block for every vector, and those that tie with the k-th."""
+
+    def half(x: np.ndarray, y: np.ndarray, xi: np.ndarray, yi: np.ndarray, same: bool) -> list:
+        out = []
+        for start in range(0, len(x), 512):
+            sims = x[start : start + 512] @ y.T
+            if same:
+                sims[np.arange(len(sims)), start + np.arange(len(sims))] = -np.inf
+            at = max(0, sims.shape[1] - k)
+            # rounding of float32 must not decide: what is near the k-th is kept and measured again
+            i, j = np.nonzero((sims >= np.partition(sims, at, axis=1)[:, at, None] - 1e-5) & np.isfinite(sims))
+            out.append((xi[start + i], yi[j], np.einsum("ij,ij->i", x[start + i].astype(np.float64), y[j].astype(np.float64))))
+        return out
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        x, ids, part = np.stack(df["v"].to_numpy()).astype(np.float32), df["id"].to_numpy(), df["part"].to_numpy()
+        i, j = (int(v) for v in key)
+        l, r = part == i, part == j
+        found = half(x[l], x[r], ids[l], ids[r], i == j) if l.any() and r.any() else []
+        if i != j and l.any() and r.any():
+            found += half(x[r], x[l], ids[r], ids[l], False)
+        c, d, cos = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"c": c, "d": d, "cosine": cos})
+
+    return run
+
+
+def nearest_of_all(vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k most similar others of every vector, however small the cosine, by comparing all pairs.
+
+    Classes of equal vectors are compared in pairs of blocks of BLOCK, each a
+    task of its own, so the work grows with the square of the classes. Ties
+    in the cosine go to the lesser key. Returns (id, other, cosine).
+    """
+    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v")
+    cls = durable(flat.groupBy("v").agg(F.min("id").alias("id")))
+    parts = max(1, math.ceil(cls.count() / BLOCK))
+    placed = cls.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    tasks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    pairs = placed.withColumn("task", F.explode(tasks)).select("id", "v", "part", "task.*")
+    return _lists(flat, cls, durable(pairs.groupBy("i", "j").applyInPandas(_top(k), "c bigint, d bigint, cosine double")), k)
+
+
+def _lists(flat: DataFrame, cls: DataFrame, both: DataFrame, k: int) -> DataFrame:
+    """(id, other, cosine): the k best of every vector, from the similar classes (c, d, cosine)."""
     # of a class only its k + 1 least members can be anyone's nearest, as they tie
     members = durable(flat.join(cls.select(F.col("v").alias("v2"), F.col("id").alias("c")), F.col("v") == F.col("v2")).select("id", "c"))
     few = durable(_least_members(members, k + 1))

@@ -41,13 +41,16 @@ def p1_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy("split", "source_system")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.durable(neighbours.usable(table(spark, sf_dir, "geo2vec_vectors"), ID, "geo_dim", "embedding", 64))
+
+
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = neighbours.usable(table(spark, sf_dir, "geo2vec_vectors"), ID, "geo_dim", "embedding", 64)
-    return neighbours.nearest(neighbours.durable(v), ID)
+    return neighbours.nearest_of_all(_vectors(spark, sf_dir), ID)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = p3_nearest(spark, sf_dir).select(F.least("id", "other").alias("internal_id_a"), F.greatest("id", "other").alias("internal_id_b"))
+    pair = neighbours.nearest(_vectors(spark, sf_dir), ID).select(F.least("id", "other").alias("internal_id_a"), F.greatest("id", "other").alias("internal_id_b"))
     return pair.distinct()
 
 

@@ -1,6 +1,8 @@
 """Cases that a bound on rows, a threshold or a subset once left out."""
 
-from landmosaic.llm import linkage, residue
+import numpy as np
+
+from landmosaic.llm import linkage, neighbours, plans, residue
 
 
 def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
@@ -46,3 +48,15 @@ def test_a_long_error_page_is_found(spark):
     rows += [(4000, "Home\nAbout\nError 503: Bad Gateway\n" + "\n".join(["The page is temporarily unavailable."] * 9)), (4001, "\n".join(body[:5]) + "\nError 503: Bad Gateway")]
     got = {r["k"] for r in residue.residue_records(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()}
     assert 4000 in got and 4001 not in got and not any(k < 1000 for k in got)
+
+
+def test_every_vector_has_its_nearest(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    x = np.random.default_rng(5).standard_normal((200, 64)).astype(np.float32)
+    x[150:153] = x[0]
+    spark.createDataFrame([(i, 64, v.tolist()) for i, v in enumerate(x)], "geo2vec_internal_id long, geo_dim int, embedding array<float>").write.parquet(f"{tmp_path}/geo2vec_vectors.parquet")
+    got = {(r["id"], r["other"]) for r in plans.p3_nearest(spark, str(tmp_path)).collect()}
+    m = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    assert got == {(i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), -s[i].round(9)))[:5]}
