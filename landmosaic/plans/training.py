@@ -16,7 +16,8 @@ KEYS = ("major_category", "semantic_type_key")
 
 
 def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "togieeum_polygon_pois").select("row_id", "area_m2", *[canonical_code(k).alias(k) for k in KEYS])
+    """Per key of the category as stored and the type code in upper case: rows, distinct row ids and their area."""
+    t = table(spark, sf_dir, "togieeum_polygon_pois").select("row_id", "area_m2", KEYS[0], canonical_code(KEYS[1]).alias(KEYS[1]))
     return balanced_key_totals(t, KEYS, "row_id", "area_m2").withColumn("total", F.round("total", 1))
 
 
@@ -55,10 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_f
 _CODE = r"upper(regexp_replace({0}, '^[\s\x{{3000}}\x{{A0}}]+|[\s\x{{3000}}\x{{A0}}]+$', '', 'g'))"
 _TOTALS = f"""
 WITH one AS (
-  SELECT DISTINCT {_CODE.format("major_category")} AS major_category, {_CODE.format("semantic_type_key")} AS semantic_type_key, row_id, area_m2
+  SELECT DISTINCT major_category, {_CODE.format("semantic_type_key")} AS semantic_type_key, row_id, area_m2
   FROM togieeum_polygon_pois
 ), raw AS (
-  SELECT {_CODE.format("major_category")} AS major_category, {_CODE.format("semantic_type_key")} AS semantic_type_key, count(*) AS n_rows
+  SELECT major_category, {_CODE.format("semantic_type_key")} AS semantic_type_key, count(*) AS n_rows
   FROM togieeum_polygon_pois GROUP BY 1, 2
 ), ids AS (
   SELECT major_category, semantic_type_key, count(DISTINCT row_id) AS n_ids,
