@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
@@ -54,6 +54,35 @@ def to_5186(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.lit(FALSE_EASTING) + F.lit(_RECT) * x, F.lit(FALSE_NORTHING) + F.lit(_RECT) * (y - F.lit(_xi0()))
 
 
+def with_5186(df: DataFrame, lon: str, lat: str, x: str, y: str) -> DataFrame:
+    """``df`` with EPSG:5186 metres as ``x`` and ``y``, by :func:`to_5186` in steps.
+
+    Each step is a column of its own, so that nothing is computed twice, and
+    the result goes through a one-row generator: filters and join keys on it
+    are not pushed below, where they would repeat the whole series.
+    """
+    s = df.withColumn("_s", F.sin(F.radians(lat))).withColumn("_dl", F.radians(F.col(lon) - F.lit(LON_0)))
+    s = s.withColumn("_t", F.sinh(F.atanh("_s") - F.lit(_E) * F.atanh(F.lit(_E) * F.col("_s"))))
+    s = s.withColumns({"_xi": F.atan2("_t", F.cos("_dl")), "_eta": F.atanh(F.sin("_dl") / F.sqrt(1 + F.col("_t") * F.col("_t")))})
+    e, n = F.col("_eta"), F.col("_xi")
+    for j, a in enumerate(_ALPHA, 1):
+        e = e + F.lit(a) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
+        n = n + F.lit(a) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
+    at = F.struct((F.lit(FALSE_EASTING) + F.lit(_RECT) * e).alias("x"), (F.lit(FALSE_NORTHING) + F.lit(_RECT) * (n - F.lit(_xi0()))).alias("y"))
+    done = s.select(*df.columns, F.explode(F.array(at)).alias("_at"))
+    return done.select(*df.columns, F.col("_at.x").alias(x), F.col("_at.y").alias(y))
+
+
+def sql_5186(lon: str, lat: str) -> tuple[str, str]:
+    """The projection of :func:`to_5186` as two SQL expressions, for comparison in another engine."""
+    p, dl = f"radians({lat})", f"radians({lon} - {LON_0})"
+    t = f"sinh(atanh(sin({p})) - {_E!r} * atanh({_E!r} * sin({p})))"
+    xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"
+    e = " + ".join([eta, *[f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1)]])
+    n = " + ".join([xi, *[f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1)]])
+    return f"({FALSE_EASTING} + {_RECT!r} * ({e}))", f"({FALSE_NORTHING} + {_RECT!r} * ({n} - {_xi0()!r}))"
+
+
 def to_4326(x: Column, y: Column) -> tuple[Column, Column]:
     """EPSG:5186 metres to EPSG:4326 degrees."""
     xi = (y - F.lit(FALSE_NORTHING)) / F.lit(_RECT) + F.lit(_xi0())

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.functions.geo import EARTH_RADIUS_M
+from landmosaic.runtime import durable
 
 #: Upper bound of the pivots; with two doubles each they take 64 kB.
 MAX_PIVOTS = 4096
 #: Distinct places that a pivot stands for, as far as MAX_PIVOTS goes.
 PLACES_PER_PIVOT = 512
+#: Members of a cell that one task joins with all of the cell's places.
+MEMBERS_PER_TASK = 20_000
 _LEAF = 96
 
 
@@ -66,7 +69,8 @@ def radius_pairs(places: DataFrame, lon: str, lat: str, radius_m: float) -> Data
     with d(place, c) <= d(place, p) + 2 r: by the triangle inequality only
     such cells can hold a member within r. Each cell is then joined alone with
     a vantage-point tree and the exact great-circle metric, so the result is
-    complete. A pair in two cells is given by the cell of its lesser place.
+    complete. A pair in two cells is given by the cell of its lesser place. A
+    cell that holds more than MEMBERS_PER_TASK members is joined in blocks.
 
     Returns lon_a, lat_a, lon_b, lat_b; a precedes b by (lon, lat).
     """
@@ -115,8 +119,13 @@ def radius_pairs(places: DataFrame, lon: str, lat: str, radius_m: float) -> Data
         q, d = q[keep], d[keep]
         return pd.DataFrame({"lon_a": x0[q], "lat_a": y0[q], "lon_b": x0[d], "lat_b": y0[d]})
 
-    cells = p.mapInPandas(assign, "cell int, member boolean, lon double, lat double")
-    return cells.groupBy("cell").applyInPandas(within, "lon_a double, lat_a double, lon_b double, lat_b double")
+    cells = durable(p.mapInPandas(assign, "cell int, member boolean, lon double, lat double"))
+    # a cell with many members is joined in blocks of them, each with all that the cell holds; one row per pivot is broadcast
+    blocks = cells.where("member").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("lon", "lat"), F.col("blocks")).cast("int")
+    split = cells.join(F.broadcast(blocks), "cell").select("cell", "member", "lon", "lat", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    split = split.select("cell", "block", (F.col("member") & (F.col("mine") == F.col("block"))).alias("member"), "lon", "lat")
+    return split.groupBy("cell", "block").applyInPandas(within, "lon_a double, lat_a double, lon_b double, lat_b double")
 
 
 def place_in_square(points: DataFrame, x: str, y: str, squares: DataFrame, square_id: str, cx: str, cy: str, side: str, lattice_m: float = 500.0) -> DataFrame:

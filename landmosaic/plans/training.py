@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmosaic.functions.geo import to_5186
+from landmosaic.functions.geo import sql_5186, with_5186
 from landmosaic.operators.keyed import balanced_key_totals, canonical_code, heavy_keys
 from landmosaic.operators.proximity import place_in_square, radius_pairs
-from landmosaic.runtime import table
+from landmosaic.runtime import durable, table
 
 KEYS = ("major_category", "semantic_type_key")
 
@@ -31,24 +31,30 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(F.col("point_id").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).distinct()
 
 
-def p2_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = to_5186(F.col("lon"), F.col("lat"))
+def _scene_of(points: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``points`` (with lon, lat) in a nonoverlap scene, with its scene_id."""
     on_map = (F.abs(F.col("lon") - 127) < 20) & (F.abs("lat") < 80)  # where the projection is defined; no scene lies elsewhere
     squares = table(spark, sf_dir, "scene_grid").where(F.col("grid_type") == "nonoverlap")
-    p = _points(spark, sf_dir).where(on_map).withColumns({"px": x, "py": y})
-    return place_in_square(p, "px", "py", squares, "scene_id", "centroid_x", "centroid_y", "cell_size_m").select("point_id", "lon", "lat", "scene_id")
+    p = with_5186(points.where(on_map), "lon", "lat", "px", "py")
+    return place_in_square(p, "px", "py", squares, "scene_id", "centroid_x", "centroid_y", "cell_size_m").select(*points.columns, "scene_id")
+
+
+def p2_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scene_of(_points(spark, sf_dir), spark, sf_dir)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    pairs = radius_pairs(points.select("lon", "lat").distinct(), "lon", "lat", 30.0)
-    side = lambda s: points.select(F.col("point_id").alias(f"point_id_{s}"), F.col("lon").alias(f"lon_{s}"), F.col("lat").alias(f"lat_{s}"))
-    apart = pairs.join(side("a"), ["lon_a", "lat_a"]).join(side("b"), ["lon_b", "lat_b"]).select("point_id_a", "point_id_b")
-    lo, hi = F.least("point_id_a", "point_id_b"), F.greatest("point_id_a", "point_id_b")
-    apart = apart.select(lo.alias("point_id_a"), hi.alias("point_id_b"))
-    at_one = side("a").join(side("b").withColumnsRenamed({"lon_b": "lon_a", "lat_b": "lat_a"}), ["lon_a", "lat_a"]).where("point_id_a < point_id_b").select("point_id_a", "point_id_b")
-    scene = p2_scenes(spark, sf_dir).select(F.col("point_id").alias("point_id_a"), "scene_id").distinct()
-    return apart.where("point_id_a < point_id_b").union(at_one).distinct().join(scene, "point_id_a").select("point_id_a", "point_id_b", "scene_id").distinct()
+    """Pairs of near points. A pair needs its lesser point in a scene, so points without one are never spelled out as that side, whatever shares their place."""
+    points = durable(_points(spark, sf_dir))
+    pairs = radius_pairs(durable(points.select("lon", "lat").distinct()), "lon", "lat", 30.0)
+    turned = F.explode(F.array(F.struct("lon_a", "lat_a", "lon_b", "lat_b"), F.struct(F.col("lon_b").alias("lon_a"), F.col("lat_b").alias("lat_a"), F.col("lon_a").alias("lon_b"), F.col("lat_a").alias("lat_b"))))
+    either = pairs.select(turned.alias("p")).select("p.*")
+    held = durable(_scene_of(points, spark, sf_dir).select(F.col("point_id").alias("point_id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), "scene_id").distinct())
+    other = points.select(F.col("point_id").alias("point_id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    order = F.col("point_id_a") < F.col("point_id_b")
+    apart = either.join(held, ["lon_a", "lat_a"]).join(other, ["lon_b", "lat_b"]).where(order).select("point_id_a", "point_id_b", "scene_id")
+    at_one = held.join(other.withColumnsRenamed({"lon_b": "lon_a", "lat_b": "lat_a"}), ["lon_a", "lat_a"]).where(order).select("point_id_a", "point_id_b", "scene_id")
+    return apart.union(at_one).distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_scenes": p2_scenes, "p6_found": p6_found, "p6_totals": p6_totals}
@@ -70,7 +76,20 @@ SELECT ids.major_category, ids.semantic_type_key, n_rows, n_ids, total
 FROM ids JOIN raw ON ids.major_category IS NOT DISTINCT FROM raw.major_category
  AND ids.semantic_type_key IS NOT DISTINCT FROM raw.semantic_type_key
 """
+_E, _N = sql_5186("lon", "lat")
+_PLACED = f"""
+WITH p AS (
+  SELECT DISTINCT point_id, lon, lat FROM sample_points WHERE point_id IS NOT NULL AND isfinite(lon) AND isfinite(lat)
+), flat AS (
+  SELECT *, {_E} AS x, {_N} AS y FROM p WHERE abs(lon - 127) < 20 AND abs(lat) < 80
+), placed AS (
+  SELECT point_id, lon, lat, scene_id FROM flat JOIN scene_grid g
+  ON g.grid_type = 'nonoverlap' AND x >= centroid_x - cell_size_m / 2 AND x < centroid_x + cell_size_m / 2 AND y >= centroid_y - cell_size_m / 2 AND y < centroid_y + cell_size_m / 2
+)"""
+_H = "pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)"
 SQL: dict[str, str] = {
+    "p2_scenes": f"{_PLACED} SELECT point_id, lon, lat, scene_id FROM placed",
+    "p2_found": f"{_PLACED} SELECT DISTINCT a.point_id AS point_id_a, b.point_id AS point_id_b, a.scene_id FROM placed a JOIN p b ON a.point_id < b.point_id AND b.lat BETWEEN a.lat - 0.0003 AND a.lat + 0.0003 WHERE 2 * 6371008.8 * asin(sqrt(least(1, {_H}))) <= 30",
     "p6_totals": _TOTALS,
     "p6_found": f"SELECT major_category, semantic_type_key FROM ({_TOTALS}) WHERE major_category IS NOT NULL AND semantic_type_key IS NOT NULL AND n_ids >= 0.04 * (SELECT count(DISTINCT row_id) FROM togieeum_polygon_pois)",
 }
