@@ -100,32 +100,41 @@ def assign_splits(grouped: DataFrame, label: str, shares: tuple[float, ...] = (0
     """Give each group one split so that every split has its share of every label.
 
     ``grouped`` has one row per record with ``group`` and ``label`` (null is a
-    label). Groups with more than ``heavy_share`` of all records (at most
-    1 / heavy_share of them) are placed one by one, largest first, where the
-    squared deviation from the target label counts grows least. The rest are
-    stratified by their main label and size: neighbours in that order go to
-    the splits in a low-discrepancy sequence, in proportion to what the heavy
-    groups left open for the label. Nothing is random: equal input gives equal
-    splits. Returns (group, split) with splits numbered as ``shares``.
+    label; there may be any number of labels). Groups with more than
+    ``heavy_share`` of all records (at most 1 / heavy_share of them) are placed
+    one by one, largest first, where the squared deviation from the target
+    label counts grows least; there, labels with no more than ``heavy_share``
+    of all records count as one label together, so that what the driver holds
+    is bounded by the shares, not by the data. The rest are stratified by
+    their main label and size: neighbours in that order go to the splits in a
+    low-discrepancy sequence that runs on from label to label, so that rare
+    labels together have the shares too, in proportion to what the heavy
+    groups left open for each label. Nothing is random: equal input gives
+    equal splits. Returns (group, split) with splits numbered as ``shares``.
     """
     spark = grouped.sparkSession
     mark = F.coalesce(F.col(label).cast("string"), F.lit("\0null"))
     counts = durable(grouped.groupBy("group", mark.alias("lab")).agg(F.count(F.lit(1)).alias("n")))
-    totals = {r["lab"]: r["n"] for r in counts.groupBy("lab").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    everything = sum(totals.values())
+    totals = durable(counts.groupBy("lab").agg(F.sum("n").alias("total")))
+    everything = totals.agg(F.sum("total")).first()[0] or 0
+    big = F.lit(heavy_share * everything)
     sizes = durable(counts.groupBy("group").agg(F.sum("n").alias("size"), F.max_by("lab", F.struct("n", "lab")).alias("main")))
-    heavy = sizes.where(F.col("size") > F.lit(heavy_share * everything)).select("group")
-    rows: dict[str, dict[str, int]] = {}
-    for r in counts.join(heavy, "group").collect():
-        rows.setdefault(r["group"], {})[r["lab"]] = r["n"]
-    got: list[dict[str, int]] = [{} for _ in shares]
+    heavy = sizes.where(F.col("size") > big).select("group")
+    common = {r["lab"]: r["total"] for r in totals.where(F.col("total") > big).collect()}  # at most 1 / heavy_share
+    target = common | {None: everything - sum(common.values())}
+    of_heavy = durable(counts.join(F.broadcast(heavy), "group"))  # at most 1 / heavy_share groups
+    kept = totals.where(F.col("total") > big).select("lab", F.col("lab").alias("common"))
+    rows: dict[str, dict[str | None, int]] = {}
+    for r in of_heavy.join(F.broadcast(kept), "lab", "left").groupBy("group", "common").agg(F.sum("n").alias("n")).collect():
+        rows.setdefault(r["group"], {})[r["common"]] = r["n"]
+    got: list[dict[str | None, int]] = [{} for _ in shares]
     placed: list[tuple[str, int]] = []
     for g, have in sorted(rows.items(), key=lambda x: (-sum(x[1].values()), x[0])):
 
-        def cost(k: int, have: dict[str, int] = have) -> float:
+        def cost(k: int, have: dict[str | None, int] = have) -> float:
             out = 0.0
             for lab, n in have.items():
-                t = max(1e-9, shares[k] * totals.get(lab, n))
+                t = max(1e-9, shares[k] * target[lab])
                 a = got[k].get(lab, 0)
                 out += ((a + n - t) ** 2 - (a - t) ** 2) / t
             return out
@@ -134,18 +143,16 @@ def assign_splits(grouped: DataFrame, label: str, shares: tuple[float, ...] = (0
         for lab, n in have.items():
             got[k][lab] = got[k].get(lab, 0) + n
         placed.append((g, k))
-    bounds = []
-    for lab, n in totals.items():
-        open_ = [max(0.0, s * n - got[k].get(lab, 0)) for k, s in enumerate(shares)]
-        whole = sum(open_) or 1.0
-        at, edge = 0.0, []
-        for o in open_:
-            at += o / whole
-            edge.append(at)
-        bounds.append((lab, edge))
-    edges = spark.createDataFrame(bounds, "main string, edge array<double>")
-    light = ranked(sizes.join(heavy, "group", "left_anti"), ["size", F.xxhash64("group"), "group"], ["main"])
-    u = F.expr("pmod((rank0 + 1) * 0.6180339887498949D, 1.0D)")
-    light = light.join(F.broadcast(edges), "main", "left").withColumn("u", u)
-    pick = F.expr(f"coalesce(least(size(filter(edge, x -> x <= u)), {len(shares) - 1}), 0)")
-    return light.select("group", pick.alias("split")).unionByName(spark.createDataFrame(placed, "group string, split int"))
+    homes = spark.createDataFrame(placed, "group string, split int")
+    # what the heavy groups hold of each label and split, and with it what is open: one row for each label
+    held = of_heavy.join(F.broadcast(homes), "group").groupBy("lab").agg(*[F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)).alias(f"held{k}") for k in range(len(shares))])
+    left = [F.greatest(F.lit(0.0), F.lit(s) * F.col("total") - F.coalesce(f"held{k}", F.lit(0))) for k, s in enumerate(shares)]
+    open_ = totals.join(held, "lab", "left").select(F.col("lab").alias("main"), *[x.alias(f"open{k}") for k, x in enumerate(left)])
+    whole = sum((F.col(f"open{k}") for k in range(1, len(shares))), F.col("open0"))
+    light = ranked(sizes.join(F.broadcast(heavy), "group", "left_anti"), ["main", "size", F.xxhash64("group"), "group"])
+    light = light.join(open_, "main", "left").withColumn("at", F.expr("pmod((rank0 + 1) * 0.6180339887498949D, 1.0D)") * whole)
+    pick, edge = F.lit(len(shares) - 1), None
+    for k in reversed(range(len(shares) - 1)):
+        edge = sum((F.col(f"open{i}") for i in range(1, k + 1)), F.col("open0"))
+        pick = F.when(F.col("at") < edge, F.lit(k)).otherwise(pick)
+    return light.select("group", F.when(whole > 0, pick).otherwise(0).alias("split")).unionByName(homes)

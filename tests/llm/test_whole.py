@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from landmosaic.llm import linkage, neighbours, plans, residue
+from landmosaic.llm import linkage, neighbours, plans, residue, splits
 
 
 def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
@@ -60,3 +60,13 @@ def test_every_vector_has_its_nearest(spark, monkeypatch, tmp_path):
     s = m @ m.T
     np.fill_diagonal(s, -2)
     assert got == {(i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), -s[i].round(9)))[:5]}
+
+
+def test_rare_labels_have_their_shares(spark):
+    rows = [(f"g{i}", f"author {i % 3000}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "group string, label string")
+    n = {r["split"]: r["count"] for r in splits.assign_splits(df, "label").groupBy("split").count().collect()}
+    assert sum(n.values()) == 30_000 and abs(n[0] - 24_000) < 300 and abs(n[1] - 3000) < 300 and abs(n[2] - 3000) < 300
+    alone = spark.createDataFrame([(f"g{i}", f"author {i}") for i in range(3000)], "group string, label string")
+    n = {r["split"]: r["count"] for r in splits.assign_splits(alone, "label").groupBy("split").count().collect()}
+    assert abs(n[0] - 2400) < 30 and abs(n[1] - 300) < 30
