@@ -9,8 +9,8 @@ from landmosaic.runtime import durable, ranked
 
 #: The target table is read on the driver; more sources than this are an error.
 MAX_SOURCES = 10_000
-#: Random offsets tried for each source.
-OFFSETS = 32
+#: Rates tried for each source around the one that the whole source would need, and how far from it.
+RATES, REACH = 65, 0.25
 
 
 def draw_rates(sizes: DataFrame, targets: DataFrame, source: str, total: float | None = None) -> list[tuple]:
@@ -42,11 +42,11 @@ def draw(sizes: DataFrame, targets: DataFrame, key: str, source: str, total: flo
     along the documents, one random offset is added, and a document is given
     once for each integer that the sum crosses. Equal rates make the prefix
     sum the rank times the rate, and the rank is found without a one-task
-    window. As neighbours have like sizes, the drawn tokens differ from the
-    target by about one document. Since no rate is above the source's
-    max_repeats, no document is given more often than that. Of OFFSETS random
-    offsets each source takes the one whose drawn tokens come nearest to its
-    target, which matters where a few very long documents weigh much.
+    window. Since no rate is above the source's max_repeats, no document is
+    given more often than that. Where a few very long documents weigh much,
+    the draw at the plain rate can miss the target by one of them; so the rate
+    (the expected copies, not the offset) is the one of RATES values around it
+    whose draw comes nearest. All rates are tried in one aggregate.
 
     Documents without tokens, with a null source or of a source that isn't a
     target are never drawn. Returns (key, source, n_tokens, copies), copies > 0.
@@ -55,19 +55,20 @@ def draw(sizes: DataFrame, targets: DataFrame, key: str, source: str, total: flo
     rates = draw_rates(sizes, targets, source, total)
     spark = sizes.sparkSession
     table = spark.createDataFrame([(r[0], r[4], r[2]) for r in rates], f"`{source}` string, rate double, cap int")
-    placed = durable(ranked(sizes.join(F.broadcast(table), source), [F.desc("n_tokens"), F.xxhash64(key), key], [source]))
+    offset = F.expr(f"pmod(xxhash64(`{source}`, {int(seed)}), 1000003) / 1000003.0D")
+    placed = durable(ranked(sizes.join(F.broadcast(table), source), [F.desc("n_tokens"), F.xxhash64(key), key], [source]).withColumn("offset", offset))
 
-    def copies(offset: str) -> str:
-        return f"least(floor((rank0 + 1) * rate + {offset}) - floor(rank0 * rate + {offset}), cap)"
+    def copies(rate: str) -> str:
+        return f"floor((rank0 + 1) * {rate} + offset) - floor(rank0 * {rate} + offset)"
 
-    tries = [f"pmod(xxhash64(`{source}`, {int(seed)}, {i}), 1000003) / 1000003.0D" for i in range(OFFSETS)]
-    drawn = placed.groupBy(source).agg(*[F.expr(f"sum({copies(o)} * n_tokens)").alias(f"t{i}") for i, o in enumerate(tries)]).collect()
-    best = {r[source]: [r[f"t{i}"] for i in range(OFFSETS)] for r in drawn}
+    half = (RATES - 1) // 2
+    factors = [1 + REACH * (i - half) / half for i in range(RATES)]
+    drawn = placed.groupBy(source).agg(*[F.expr(f"sum(({copies(f'least(rate * {f!r}D, cap)')}) * n_tokens)").alias(f"t{i}") for i, f in enumerate(factors)]).collect()
     goal = {r[0]: r[3] * r[4] for r in rates}
-    chosen = [(s, min(range(OFFSETS), key=lambda i: (abs(t[i] - goal[s]), i))) for s, t in best.items()]
-    pick = spark.createDataFrame(chosen, f"`{source}` string, try int")
-    out = placed.join(F.broadcast(pick), source).withColumn("offset", F.expr(f"pmod(xxhash64(`{source}`, {int(seed)}, try), 1000003) / 1000003.0D"))
-    return out.select(key, source, "n_tokens", F.expr(copies("offset")).cast("int").alias("copies")).where("copies > 0")
+    chosen = [(r[source], factors[min(range(RATES), key=lambda i: (abs(r[f"t{i}"] - goal[r[source]]), abs(i - half), i))]) for r in drawn]
+    pick = spark.createDataFrame(chosen, f"`{source}` string, factor double")
+    out = placed.join(F.broadcast(pick), source).withColumn("rate", F.least(F.col("rate") * F.col("factor"), F.col("cap")))
+    return out.select(key, source, "n_tokens", F.expr(copies("rate")).cast("int").alias("copies")).where("copies > 0")
 
 
 def reached_shares(drawn: DataFrame, targets: DataFrame, source: str) -> DataFrame:
