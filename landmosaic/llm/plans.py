@@ -46,7 +46,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest_of_all(_vectors(spark, sf_dir), ID)
+    return neighbours.nearest_of_all(_vectors(spark, sf_dir), ID).select("id", "other")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,4 +168,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_clean": p10_clean,
 }
 
-SQL: dict[str, str] = {}
+_GROUPS = """
+WITH RECURSIVE pairs AS (SELECT DISTINCT building_id AS b, scene_id AS s FROM scene_entities WHERE building_id IS NOT NULL AND scene_id IS NOT NULL),
+step AS (SELECT DISTINCT x.s AS u, y.s AS v FROM pairs x JOIN pairs y ON x.b = y.b),
+reach AS (SELECT u, v FROM step UNION SELECT r.u, t.v FROM reach r JOIN step t ON r.v = t.u),
+home AS (SELECT u AS s, min(v) AS g FROM reach GROUP BY 1),
+entity AS (
+  SELECT DISTINCT e.geo2vec_internal_id AS id, e.building_id AS b,
+    coalesce(h.g, e.scene_id, (SELECT min(coalesce(h2.g, p.s)) FROM pairs p LEFT JOIN home h2 ON p.s = h2.s WHERE p.b = e.building_id)) AS g
+  FROM scene_entities e LEFT JOIN home h ON e.scene_id = h.s
+),
+split AS (SELECT DISTINCT geo2vec_internal_id AS id, split FROM sdf_samples WHERE split IS NOT NULL),
+broken AS (SELECT g FROM entity JOIN split USING (id) WHERE g IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)
+"""
+_VECTORS = """
+WITH u AS (
+  SELECT geo2vec_internal_id AS id, max(CAST(embedding AS DOUBLE[])) AS v FROM geo2vec_vectors
+  WHERE geo_dim = 64 AND len(embedding) = 64 AND list_aggregate(embedding, 'count') = 64 AND isfinite(list_aggregate(CAST(embedding AS DOUBLE[]), 'sum'))
+    AND (list_aggregate(embedding, 'max') <> 0 OR list_aggregate(embedding, 'min') <> 0)
+  GROUP BY 1
+), c AS (SELECT a.id AS id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 7) AS s FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT id, other, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM c)
+"""
+SQL: dict[str, str] = {
+    "p1_found": f"{_GROUPS} SELECT DISTINCT b AS building_id, g AS group_scene_id FROM entity JOIN broken USING (g) WHERE b IS NOT NULL",
+    "p3_nearest": f"{_VECTORS} SELECT id, other FROM r WHERE k <= 5",
+}
