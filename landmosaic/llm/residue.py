@@ -118,7 +118,7 @@ def passages(text: str | None) -> list[dict]:
             feats.add("repeated passage")
         low = p.lower()
         bare = _QUOTED.sub(" ", low) if _QUOTE.search(low) else low
-        seed = 2 if _FILLER.search(bare) else 3 if _STATUS.search(low) or _SCRIPT.search(bare) else 0
+        seed = 2 if _FILLER.search(bare) else 3 if _STATUS.search(low) or (("script" in bare or "js" in bare or "스크립트" in bare) and _SCRIPT.search(bare)) else 0
         out.append({"feats": sorted({_hash(f, half) for f in feats}), "seed": seed, "n": len(plain), "slots": slots})
     page = len(text) <= SHORT and "```" not in text and any(o["seed"] == 3 for o in out)
     of = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
@@ -191,9 +191,10 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)
-    known = seed > 0
-    p[known] = 0
-    p[known, seed[known]] = 1
+    if training:  # trusted passages teach; they are judged like all others
+        known = seed > 0
+        p[known] = 0
+        p[known, seed[known]] = 1
     return feats, row, p
 
 
