@@ -9,12 +9,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landmosaic.runtime import durable
+from landmosaic.runtime import durable, width
 
 ROUNDS = 4
+#: Probability of each broken character in a lossy misreading.
+BROKEN = 1 / 8
 
 # Encodings that text was wrongly read in, and those that it was written in.
 READ_AS = ("latin-1", "web-1252", "cp1251", "mac-roman", "gb18030", "cp932", "big5", "cp949", "cp437", "koi8-r", "cp1250")
@@ -93,6 +95,8 @@ class Letters:
 
     def __init__(self, char: dict[str, float], pair: dict[str, float]) -> None:
         self.char, self.pair = char, pair
+        self.chars: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
         self.of: dict[str, float] = {}
         for c, n in char.items():
             k = kind(c)
@@ -102,64 +106,106 @@ class Letters:
             a = p.split(">")[0]
             self.after[a] = self.after.get(a, 0.0) + n
 
-    def score(self, s: str) -> float:
-        total, before = 0.0, "^"
+    def steps(self, s: str, before: str = "^") -> list[float]:
+        """The log probability of each character after the kind ``before``."""
+        out = []
         for c in s:
             k = kind(c)
-            p = (self.pair.get(f"{before}>{k}", 0.0) + 0.05) / (self.after.get(before, 0.0) + 0.05 * len(_KINDS))
-            q = (self.char.get(c, 0.0) + 0.02) / (self.of.get(k, 0.0) + 0.02 * _KINDS[k])
-            total += math.log(p) + math.log(q)
+            out.append(self._pair(before, k) + self._char(c, k))
             before = k
-        return total
+        return out
+
+    def _pair(self, before: str, k: str) -> float:
+        got = self.pairs.get((before, k))
+        if got is None:
+            got = self.pairs[before, k] = math.log((self.pair.get(f"{before}>{k}", 0.0) + 0.05) / (self.after.get(before, 0.0) + 0.05 * len(_KINDS)))
+        return got
+
+    def _char(self, c: str, k: str) -> float:
+        got = self.chars.get(c)
+        if got is None:
+            got = self.chars[c] = math.log((self.char.get(c, 0.0) + 0.02) / (self.of.get(k, 0.0) + 0.02 * _KINDS[k]))
+        return got
+
+    def gains(self, value: str, parts: list[tuple[int, int, str]]) -> list[float]:
+        """For each (start, end, piece): the score of ``value`` with that part replaced, less its own. Linear in the parts, however long the value."""
+        own = self.steps(value)
+        out = []
+        for start, end, piece in parts:
+            before = kind(value[start - 1]) if start else "^"
+            gain = sum(self.steps(piece, before)) - sum(own[start:end])
+            if end < len(value):  # the character behind follows another kind now
+                k = kind(value[end])
+                gain += self._pair(kind(piece[-1]) if piece else before, k) - self._pair(kind(value[end - 1]) if end else "^", k)
+            out.append(gain)
+        return out
+
+    def lossy(self, value: str) -> float:
+        """What a lossy misreading gains: it gives broken characters, which it draws from BROKEN ones, after anything."""
+        gain, before = 0.0, "^"
+        for c, step in zip(value, self.steps(value)):
+            k = kind(c)
+            if k == "broken":
+                gain -= step + math.log(BROKEN)
+            elif before == "broken":
+                gain += max(self._pair(x, k) for x in _KINDS) - self._pair(before, k)
+            before = k
+        return gain
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
-def options(value: str) -> list[tuple[str, str]]:
-    """(chain, text before the misreading) for each chain that can have given the value, or a part of it.
+def options(value: str) -> list[tuple[str, int, int, str]]:
+    """(chain, start, end, piece) for each chain that can have given the value, or a part of it: the part and what it was before.
 
-    A part is a run of non-ASCII characters; the chain is then undone in each
-    run where that is possible. A value with
-    replacement or control characters can be ``lossy`` too: misread in a way that
-    can't be undone.
+    A part is a run of non-ASCII characters, or the whole value; a chain is
+    undone in the whole, in each run where that is possible, and in all of
+    them. However many runs there are, each has its options. A value with
+    replacement or control characters can be ``lossy`` too: misread in a way
+    that can't be undone.
     """
-    out, seen = [], {value}
+    out: list[tuple[str, int, int, str]] = []
+    seen: set[tuple[int, int, str]] = set()
+    runs = [m.span() for m in _RUN.finditer(value)]
+    known = set(value)
+
+    def add(chain: tuple, start: int, end: int, piece: str | None) -> None:
+        if piece and piece != value[start:end] and (start, end, piece) not in seen and not any(kind(c) == "broken" for c in piece if c not in known):
+            seen.add((start, end, piece))
+            out.append((_name(chain), start, end, piece))
+
     for chain in chains():
-        whole = _undo(value, chain)
-        parts = _RUN.sub(lambda m, chain=chain: _undo(m.group(), chain) or m.group(), value)
-        for t in (whole, parts):
-            if t and t not in seen and not any(kind(c) == "broken" for c in t if c not in value):
-                seen.add(t)
-                out.append((_name(chain), t))
-        # runs that differ in their chain, the rest left as it is
-        for m in _RUN.finditer(value):
-            t = _undo(m.group(), chain)
-            t = t and value[: m.start()] + t + value[m.end() :]
-            if t and t not in seen and len(_RUN.findall(value)) <= 8 and not any(kind(c) == "broken" for c in t if c not in value):
-                seen.add(t)
-                out.append((_name(chain), t))
+        for start, end in runs:
+            add(chain, start, end, _undo(value[start:end], chain))
+        if runs:
+            if runs != [(0, len(value))]:
+                add(chain, 0, len(value), _undo(value, chain))
+            if len(runs) > 1:
+                start, end = runs[0][0], runs[-1][1]
+                add(chain, start, end, _RUN.sub(lambda m, chain=chain: _undo(m.group(), chain) or m.group(), value[start:end]))
     if any(kind(c) == "broken" for c in value):
-        out.append(("lossy", value))
+        out.append(("lossy", 0, 0, ""))
     return out
 
 
+_OPTION = "array<struct<chain:string,start:int,end:int,piece:string>>"
+
+
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        o = [options(v) for v in b["value"]]
-        yield b.assign(chain=[[x[0] for x in y] for y in o], text=[[x[1] for x in y] for y in o])
+        yield b.assign(options=[[{"chain": c, "start": s, "end": e, "piece": t} for c, s, e, t in options(v)] for v in b["value"]])
 
 
-def _weigh(value: str, chain: list[str], text: list[str], source: str, letters: Letters, prior: dict[tuple[str, str], float], sums: dict[str, float]) -> list[float]:
+def _weigh(value: str, found: list[dict], letters: Letters, prior: dict[str, float] | None) -> list[float]:
     """Posterior of 'none' and of each option."""
-    broken = "lossy" in chain  # certainly misread; only how is open
-    total = sums.get(source, 0.0) + 20.0
-    score = []
-    for c, t in [("none", value), *zip(chain, text)]:
-        base = 19.0 if c == "none" else 1.0 / 40
-        score.append(math.log((prior.get((source, c), 0.0) + base) / total) + letters.score(t))
-    if broken:
-        score[0] = -math.inf
+    prior = prior or {}
+    total = sum(prior.values()) + 20.0
+    share = lambda c: math.log((prior.get(c, 0.0) + (19.0 if c == "none" else 1.0 / 40)) / total)
+    gains = letters.gains(value, [(o["start"], o["end"], o["piece"]) for o in found])
+    score = [share("none")]
+    for o, g in zip(found, gains):
+        score.append(share(o["chain"]) + (letters.lossy(value) if o["chain"] == "lossy" else g))
     top = max(score)
     w = [math.exp(s - top) for s in score]
     return [x / sum(w) for x in w]
@@ -200,32 +246,39 @@ def misread_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ``lossy`` values, whose characters are lost.
     """
     v = values.where(F.col("value").isNotNull()).select("field", F.coalesce("source", F.lit("")).alias("source"), "value").distinct()
-    o = durable(v.mapInPandas(_expand, "field string, source string, value string, chain array<string>, text array<string>"))
-    letters = Letters(*_counts(o.where(F.size("chain") == 0).select(F.col("value").alias("t"), F.lit(1.0).alias("w"))))
-    prior: dict[tuple[str, str], float] = {}
-    sums: dict[str, float] = {}
+    # few bytes, much work: adaptive execution would put all into one task
+    o = durable(v.repartition(width(v), "value").mapInPandas(_expand, f"field string, source string, value string, options {_OPTION}"))
+    letters = Letters(*_counts(o.where(F.size("options") == 0).select(F.col("value").alias("t"), F.lit(1.0).alias("w"))))
+    prior = None
     spark = values.sparkSession
     weighed = None
     for step in range(rounds):
-        held = spark.sparkContext.broadcast((letters, prior, sums))
+        held = spark.sparkContext.broadcast(letters)  # bounded by Unicode
 
         def posterior(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for b in batches:
-                p = [_weigh(val, list(c), list(t), f + "\0" + s, *held.value) for f, s, val, c, t in zip(b["field"], b["source"], b["value"], b["chain"], b["text"])]
-                yield b.assign(p=p)
+                maps = [None if m is None else dict(m) for m in b["prior"]]
+                yield b.drop(columns="prior").assign(p=[_weigh(val, list(found), held.value, m) for val, found, m in zip(b["value"], b["options"], maps)])
 
-        weighed = o.mapInPandas(posterior, "field string, source string, value string, chain array<string>, text array<string>, p array<double>")
+        with_prior = o.withColumn("prior", F.lit(None).cast("map<string,double>")) if prior is None else o.join(prior, ["field", "source"], "left")
+        weighed = with_prior.select("field", "source", "value", "options", "prior").mapInPandas(posterior, f"field string, source string, value string, options {_OPTION}, p array<double>")
         if step == rounds - 1:
             break
-        each = F.explode(F.arrays_zip(F.concat(F.array(F.lit("none")), "chain").alias("c"), F.concat(F.array("value"), "text").alias("t"), F.col("p").alias("w")))
-        flat = durable(weighed.select("field", "source", each.alias("x")).select("field", "source", "x.*").where("w > 1e-6"))
+        weighed = durable(weighed)
+        restored = F.transform("options", lambda x: F.struct(x["chain"].alias("c"), _spliced(x).alias("t")))
+        each = F.explode(F.arrays_zip(F.concat(F.array(F.struct(F.lit("none").alias("c"), F.col("value").alias("t"))), restored).alias("o"), F.col("p").alias("w")))
+        flat = weighed.select("field", "source", each.alias("x")).where("x.w > 1e-6").select("field", "source", "x.o.c", "x.o.t", "x.w")
         letters = Letters(*_counts(flat.where("c != 'lossy'").select("t", "w")))
-        # one row per source, field and chain; sources are few codes, and only those with misread values have rows besides none
-        rows = flat.groupBy("field", "source", "c").agg(F.sum("w").alias("n")).where("c != 'none' OR n > 0").collect()
-        prior = {(r["field"] + "\0" + r["source"], r["c"]): r["n"] for r in rows}
-        sums = {}
-        for (s, _), n in prior.items():
-            sums[s] = sums.get(s, 0.0) + n
-    best = F.array_max(F.transform(F.arrays_zip(F.slice("p", 2, 10_000).alias("w"), "chain", "text"), lambda x: F.struct(x["w"].alias("w"), x["chain"].alias("c"), x["text"].alias("t"))))
-    out = weighed.where(F.element_at("p", 1) < 0.5).withColumn("b", best)
-    return out.select("field", "source", "value", F.col("b.c").alias("chain"), F.when(F.col("b.c") != "lossy", F.col("b.t")).alias("restored"), (1 - F.element_at("p", 1)).alias("probability"))
+        # a row for each field and source, with as many entries as there are chains; joined, not sent to the driver
+        by_chain = flat.groupBy("field", "source", "c").agg(F.sum("w").alias("n"))
+        prior = durable(by_chain.groupBy("field", "source").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("prior")))
+    best = F.array_max(F.transform(F.arrays_zip(F.slice("p", 2, F.greatest(F.size("options"), F.lit(1))).alias("w"), F.col("options").alias("o")), lambda x: F.struct(x["w"].alias("w"), x["o"].alias("o"))))
+    out = weighed.where((F.element_at("p", 1) < 0.5) & (F.size("options") > 0)).withColumn("b", best)
+    whole = F.when(F.col("b.o.chain") != "lossy", _spliced(F.col("b.o")))
+    return out.select("field", "source", "value", F.col("b.o.chain").alias("chain"), whole.alias("restored"), (1 - F.element_at("p", 1)).alias("probability"))
+
+
+def _spliced(option: Column) -> Column:
+    """``value`` with the option's part replaced."""
+    head = F.col("value").substr(F.lit(1), option["start"])
+    return F.concat(head, option["piece"], F.col("value").substr(option["end"] + 1, F.length("value")))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from landmosaic.llm import linkage, neighbours, plans, residue, splits
+from landmosaic.llm import encoding, linkage, neighbours, plans, residue, splits
 
 
 def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
@@ -70,3 +70,14 @@ def test_rare_labels_have_their_shares(spark):
     alone = spark.createDataFrame([(f"g{i}", f"author {i}") for i in range(3000)], "group string, label string")
     n = {r["split"]: r["count"] for r in splits.assign_splits(alone, "label").groupBy("split").count().collect()}
     assert abs(n[0] - 2400) < 30 and abs(n[1] - 300) < 30
+
+
+def test_one_misread_run_among_many_is_restored(spark):
+    names = [f"{a}{b}구 {c}{d}동" for a in "봄해달별새" for b in "내벌담뫼" for c in "가나다" for d in "솔실"]
+    right = " ".join(f"{names[i]} {i}" for i in range(0, 60, 6))
+    run = names[18].split(" ")[0]
+    bad = right.replace(run, run.encode().decode("latin-1"), 1)
+    assert bad != right
+    df = spark.createDataFrame([("f", f"s{i % 7}", n) for i, n in enumerate(names)] + [("f", "s0", bad)], "field string, source string, value string")
+    got = {r["value"]: r["restored"] for r in encoding.misread_values(df).collect()}
+    assert got == {bad: right}
