@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ AGREE_M = 0.5
 SYMBOL_M = 0.75
 #: Edits (vertices left out or put in) that the segment join allows.
 EDITS = 2
+#: Symbols of an extent string, those of its segment that is looked up, and the size of their cells.
+DIRECTIONS, SEGMENT, _EXTENT_CELL = 16, [0, 4, 8, 12], 4.0
 _CELL = 3.0
 _SPAN = 4.0
 _FLAT = 0.3
@@ -30,9 +33,12 @@ def parse_rings(wkt: str | None) -> list[np.ndarray]:
         return []
     out = []
     for part in re.findall(r"\(([^()]+)\)", wkt):
+        words = part.replace(",", " ").split()
         try:
-            pts = [[float(v) for v in _NUMBER.findall(p)[:2]] for p in part.split(",")]
-            ring = np.array(pts, dtype=float).reshape(-1, 2)
+            if len(words) == 2 * (part.count(",") + 1):
+                ring = np.array(words, dtype=float).reshape(-1, 2)
+            else:
+                ring = np.array([[float(v) for v in _NUMBER.findall(p)[:2]] for p in part.split(",")], dtype=float).reshape(-1, 2)
         except ValueError:
             return []
         if len(ring) > 1 and np.array_equal(ring[0], ring[-1]):
@@ -116,12 +122,13 @@ def _near(v: float, cell: float, slack: float) -> list[int]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for wkt in b["wkt"]:
+        for key, wkt, train in zip(b["key"], b["wkt"], b["train"]):
             rings = [canonical_ring(r) for r in parse_rings(wkt)]
             if rings:
                 rings.sort(key=lambda r: (-len(r), r.tobytes()))
-                rows.append((wkt, [[float(v) for v in r.ravel()] for r in rings]))
-        yield pd.DataFrame(rows, columns=["wkt", "rings"])
+                cls = hashlib.md5(b"|".join(r.tobytes() for r in rings), usedforsecurity=False).hexdigest()
+                rows.append((key, train, cls, [r.ravel() for r in rings]))
+        yield pd.DataFrame(rows, columns=["key", "train", "cls", "rings"])
 
 
 def _grams(training: bool):
@@ -168,42 +175,144 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["t", "e"])
 
 
-def outline_overlaps(entities: DataFrame, key: str, wkt: str, split: str) -> DataFrame:
-    """Pairs (train, eval) of entities whose outlines agree within AGREE_M.
+def _extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(cls, s): the string of an outline's extents in DIRECTIONS directions, over all its rings."""
+    turn = np.arange(DIRECTIONS) * 2 * np.pi / DIRECTIONS
+    way = np.stack([np.cos(turn), np.sin(turn)])
+    for b in batches:
+        if not len(b):
+            continue
+        flat = [np.concatenate([np.asarray(r, dtype=float) for r in rings]) for rings in b["rings"]]
+        at = np.cumsum([0, *[len(f) // 2 for f in flat[:-1]]])
+        high = np.maximum.reduceat(np.concatenate(flat).reshape(-1, 2) @ way, at, axis=0)
+        yield pd.DataFrame({"cls": b["cls"], "s": list(high)})
+
+
+def _extent_keys(training: bool):
+    """Index keys of extent strings: the first segment's cells of a training outline, and all cells that those of an evaluation outline may have moved to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            s = np.stack(b["s"].to_numpy())[:, SEGMENT]
+            rows, keys = np.arange(len(s)), [np.zeros(len(s), np.int64)]
+            for j in range(s.shape[1]):
+                low = np.floor((s[:, j] - (0 if training else AGREE_M + 1e-6)) / _EXTENT_CELL).astype(np.int64)
+                high = low if training else np.floor((s[:, j] + AGREE_M + 1e-6) / _EXTENT_CELL).astype(np.int64)
+                n = (high - low + 1)[rows]
+                more = np.repeat(np.arange(len(rows)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                with np.errstate(over="ignore"):
+                    keys = [keys[0][more] * np.int64(1_000_003) + low[rows[more]] + step]
+                rows = rows[more]
+            yield pd.DataFrame({"key": keys[0], "cls": b["cls"].to_numpy()[rows]})
+
+    return run
+
+
+def _verify_outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for t, e, rt, re_ in zip(b["t"], b["e"], b["rings_t"], b["rings_e"]):
+            if outlines_agree([np.asarray(r, dtype=float).reshape(-1, 2) for r in rt], [np.asarray(r, dtype=float).reshape(-1, 2) for r in re_]):
+                rows.append((t, e))
+        yield pd.DataFrame(rows, columns=["t", "e"])
+
+
+def _vertex_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs of classes (t, e) by the segment join of vertex strings."""
+    index = classes.where("t").select("cls", "rings").mapInPandas(_grams(True), "key string, cls string, pos int")
+    probe = classes.where("e").select("cls", "rings").mapInPandas(_grams(False), "key string, cls string, pos int")
+    hits = index.withColumnsRenamed({"cls": "t", "pos": "pt"}).join(probe.withColumnsRenamed({"cls": "e", "pos": "pe"}), "key").where("t != e")
+    hits = hits.groupBy("t", "e").agg(F.collect_set(F.col("pt") - F.col("pe")).alias("shifts"))  # a set of at most EDITS + 1 times as many turns as vertices
+    return _with_rings(hits, classes).mapInPandas(_verify, "t string, e string")
+
+
+def _extent_candidates(classes: DataFrame) -> DataFrame:
+    """All pairs of different classes (t, e) of which no extent differs by more than AGREE_M, by the segment join of extent strings."""
+    strings = durable(classes.mapInPandas(_extents, "cls string, s array<double>").join(classes.select("cls", "t", "e"), "cls"))
+    index = strings.where("t").select("cls", "s").mapInPandas(_extent_keys(True), "key bigint, cls string").withColumnRenamed("cls", "t")
+    probe = strings.where("e").select("cls", "s").mapInPandas(_extent_keys(False), "key bigint, cls string").withColumnRenamed("cls", "e")
+    hits = index.join(probe, "key").where("t != e").select("t", "e").distinct()
+    hits = hits.join(strings.select(F.col("cls").alias("t"), F.col("s").alias("st")), "t").join(strings.select(F.col("cls").alias("e"), F.col("s").alias("se")), "e")
+    near = F.forall(F.zip_with("st", "se", lambda x, y: F.abs(x - y)), lambda d: d <= AGREE_M + 1e-6)
+    return hits.where(near).select("t", "e")
+
+
+def _with_rings(hits: DataFrame, classes: DataFrame) -> DataFrame:
+    return hits.join(classes.select(F.col("cls").alias("t"), F.col("rings").alias("rings_t")), "t").join(classes.select(F.col("cls").alias("e"), F.col("rings").alias("rings_e")), "e")
+
+
+def outline_classes(entities: DataFrame, key: str, wkt: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """(members (key, train, cls), pairs (t, e) of classes whose outlines agree within AGREE_M).
 
     An outline is a string of vertices, turned to start at its least vertex.
     Equal strings form one class; all work is on classes that occur in
-    training (split 0) and in evaluation (split 1 or 2), and only the result
-    is spelled out per entity. An evaluation string is cut into EDITS + 1
-    segments; at most EDITS edits leave one segment whole, so it must occur in
-    the training string, whose substrings are indexed at all positions (a ring
-    may start anywhere). A symbol is the grid cell of a vertex; an evaluation
-    vertex also probes the cells within SYMBOL_M, so no match is lost at cell
-    borders. Long segments are looked up by their first two symbols. The key
-    also holds the outline's width and height, so that crowded spots split up.
-    Candidates are verified by banded dynamic programming at the matched turn
-    and then by the exact distance of the outlines.
+    training (split 0) and in evaluation (split 1 or 2). An evaluation string
+    is cut into EDITS + 1 segments; at most EDITS edits leave one segment
+    whole, so it must occur in the training string, whose substrings are
+    indexed at all positions (a ring may start anywhere). A symbol is the grid
+    cell of a vertex; an evaluation vertex also probes the cells within
+    SYMBOL_M, so no match is lost at cell borders. Long segments are looked up
+    by their first two symbols. The key also holds the outline's width and
+    height, so that crowded spots split up. Candidates are verified by banded
+    dynamic programming at the matched turn and then by the exact distance of
+    the outlines.
+
+    Outlines drawn with other corners can agree without such a string. So
+    every outline also has a string of fixed length: its extents in DIRECTIONS
+    directions. Where outlines agree, no extent differs by more than AGREE_M:
+    these strings match without an edit, and one segment of them tells the
+    candidates of all pairs that agree. Only classes with such a candidate go
+    into the join of vertex strings, and candidates that it doesn't confirm
+    are measured too. So nothing is lost, whatever the number or the place of
+    the corners, and several rings are covered too.
 
     Entities with a null key, null split or unreadable outline pair with
-    nothing; repeated rows count once. Outlines that differ by more than EDITS
-    corners (after dropping vertices on straight lines) aren't found.
+    nothing; repeated rows count once.
     """
     e = entities.where(F.col(key).isNotNull() & F.col(wkt).isNotNull() & F.col(split).isin(0, 1, 2))
     e = durable(e.select(F.col(key).alias("key"), F.col(wkt).alias("wkt"), (F.col(split) == 0).alias("train")).distinct())
-    read = e.select("wkt").distinct().mapInPandas(_read, "wkt string, rings array<array<double>>").withColumn("cls", F.md5(F.to_json("rings")))
-    members = durable(e.join(read, "wkt").select("key", "train", "cls", "rings"))
+    members = durable(e.mapInPandas(_read, "key string, train boolean, cls string, rings array<array<double>>"))
     classes = durable(members.groupBy("cls").agg(F.first("rings").alias("rings"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e")))
-    index = classes.where("t").select("cls", "rings").mapInPandas(_grams(True), "key string, cls string, pos int")
-    probe = classes.where("e").select("cls", "rings").mapInPandas(_grams(False), "key string, cls string, pos int")
-    hits = index.withColumnsRenamed({"cls": "t", "pos": "pt"}).join(probe.withColumnsRenamed({"cls": "e", "pos": "pe"}), "key").where("t != e")
-    hits = hits.groupBy("t", "e").agg(F.collect_set(F.col("pt") - F.col("pe")).alias("shifts"))  # a set of at most EDITS + 1 times as many turns as vertices
-    hits = hits.join(classes.select(F.col("cls").alias("t"), F.col("rings").alias("rings_t")), "t").join(classes.select(F.col("cls").alias("e"), F.col("rings").alias("rings_e")), "e")
-    pairs = hits.mapInPandas(_verify, "t string, e string").unionByName(classes.where("t AND e").select(F.col("cls").alias("t"), F.col("cls").alias("e")))
-    train = members.where("train").select(F.col("cls").alias("t"), F.col("key").alias("train")).distinct()
-    held = members.where(~F.col("train")).select(F.col("cls").alias("e"), F.col("key").alias("eval")).distinct()
+    likely = durable(_extent_candidates(classes))
+    sides = likely.select(F.explode(F.array(F.struct(F.col("t").alias("cls"), F.lit(True).alias("t"), F.lit(False).alias("e")), F.struct(F.col("e").alias("cls"), F.lit(False).alias("t"), F.lit(True).alias("e")))).alias("s")).select("s.*")
+    sides = sides.groupBy("cls").agg(F.max("t").alias("t"), F.max("e").alias("e"))
+    found = durable(_vertex_pairs(durable(classes.select("cls", "rings").join(sides, "cls"))))
+    rest = _with_rings(likely.join(found, ["t", "e"], "left_anti"), classes).mapInPandas(_verify_outlines, "t string, e string")
+    pairs = durable(found.unionByName(rest).unionByName(classes.where("t AND e").select(F.col("cls").alias("t"), F.col("cls").alias("e"))))
+    return members.select("key", "train", "cls").distinct(), pairs
+
+
+def outline_overlaps(entities: DataFrame, key: str, wkt: str, split: str) -> DataFrame:
+    """Pairs (train, eval) of entities whose outlines agree within AGREE_M; see :func:`outline_classes`."""
+    members, pairs = outline_classes(entities, key, wkt, split)
+    train = members.where("train").select(F.col("cls").alias("t"), F.col("key").alias("train"))
+    held = members.where(~F.col("train")).select(F.col("cls").alias("e"), F.col("key").alias("eval"))
     return pairs.join(train, "t").join(held, "e").select("train", "eval")
 
 
+def overlap_counts(entities: DataFrame, key: str, entity: str, wkt: str, split: str) -> DataFrame:
+    """(eval, partners): for each evaluation entity the number of training entities that :func:`split_overlaps` pairs it with; entities with none are left out.
+
+    Counted per class of outlines and per ``entity`` value, without spelling
+    out pairs: partners by outline, plus partners by value, less those by
+    both. A key must have one split and one value.
+    """
+    members, pairs = outline_classes(entities, key, wkt, split)
+    e = entities.where(F.col(key).isNotNull() & F.col(split).isin(0, 1, 2))
+    value = durable(e.groupBy(F.col(key).alias("key")).agg(F.max(F.col(entity)).alias("value"), (F.min(split) == 0).alias("train")))
+    of_class = durable(value.join(members.select("key", "cls"), "key", "left"))
+    train, held = of_class.where("train"), of_class.where(~F.col("train"))
+    near = pairs.join(train.groupBy(F.col("cls").alias("t")).agg(F.count(F.lit(1)).alias("n")), "t").groupBy(F.col("e").alias("cls")).agg(F.sum("n").alias("by_outline"))
+    equal = train.where("value IS NOT NULL").groupBy("value").agg(F.countDistinct("key").alias("by_value"))
+    both = pairs.join(train.where("value IS NOT NULL").groupBy(F.col("cls").alias("t"), "value").agg(F.count(F.lit(1)).alias("n")), "t").groupBy(F.col("e").alias("cls"), "value").agg(F.sum("n").alias("by_both"))
+    out = held.join(near, "cls", "left").join(equal, "value", "left").join(both, ["cls", "value"], "left")
+    n = F.coalesce("by_outline", F.lit(0)) + F.coalesce("by_value", F.lit(0)) - F.coalesce("by_both", F.lit(0))
+    return out.select(F.col("key").alias("eval"), n.alias("partners")).where("partners > 0")
+
+
 def equal_overlaps(entities: DataFrame, key: str, value: str, split: str) -> DataFrame:
     """Pairs (train, eval) of entities with the same ``value``: the segment join with no edits, where the one segment is the whole string."""
     e = entities.where(F.col(key).isNotNull() & F.col(value).isNotNull() & F.col(split).isin(0, 1, 2)).select(key, value, split).distinct()

@@ -97,18 +97,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_records(spark, sf_dir).select("table_name", "record_key").distinct()
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "scene_entities").select(ID, "entity_key", "building_id", "geometry_wkt").join(_splits(spark, sf_dir), ID)
-    return overlap.split_overlaps(e, "entity_key", "building_id", "geometry_wkt", "split")
+P7_COLUMNS = ("entity_key", "building_id", "geometry_wkt", "split")
+
+
+def _split_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scene_entities").select(ID, "entity_key", "building_id", "geometry_wkt").join(_splits(spark, sf_dir), ID)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlaps(spark, sf_dir)
+    o = overlap.split_overlaps(_split_entities(spark, sf_dir), *P7_COLUMNS)
     return o.select(F.least("train", "eval").alias("entity_key_a"), F.greatest("train", "eval").alias("entity_key_b")).distinct()
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = _overlaps(spark, sf_dir).groupBy("eval").agg(F.count(F.lit(1)).alias("partners"))
+    hit = overlap.overlap_counts(_split_entities(spark, sf_dir), *P7_COLUMNS)
     e = table(spark, sf_dir, "scene_entities").select(ID, "entity_key", "source_system").distinct().join(_splits(spark, sf_dir).where("split IN (1, 2)"), ID)
     e = e.join(hit, F.col("entity_key") == F.col("eval"), "left")
     return e.groupBy("split", "source_system").agg(F.count(F.lit(1)).alias("entities"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from landmosaic.llm import encoding, linkage, neighbours, plans, residue, splits
+from landmosaic.llm import encoding, linkage, neighbours, overlap, plans, residue, splits
 
 
 def test_linkage_keeps_crowded_blocks_whole(spark, monkeypatch):
@@ -81,3 +81,22 @@ def test_one_misread_run_among_many_is_restored(spark):
     df = spark.createDataFrame([("f", f"s{i % 7}", n) for i, n in enumerate(names)] + [("f", "s0", bad)], "field string, source string, value string")
     got = {r["value"]: r["restored"] for r in encoding.misread_values(df).collect()}
     assert got == {bad: right}
+
+
+def _ring(points):
+    return "POLYGON ((" + ", ".join(f"{x:.3f} {y:.3f}" for x, y in [*points, points[0]]) + "))"
+
+
+def test_outlines_with_other_corners_are_found(spark):
+    circle = lambda x, y, turn: _ring([(x + 10 * np.cos((i + turn) * np.pi / 12), y + 10 * np.sin((i + turn) * np.pi / 12)) for i in range(24)])
+    notched = _ring([(100, 0), (109, 0), (109, 0.45), (111, 0.45), (111, 0), (120, 0), (120, 20), (100, 20)])
+    two = lambda a, b: f"MULTIPOLYGON ((({a})), (({b})))"
+    p, q = "200 0, 205 0, 205 5, 200 5, 200 0", "300 0, 306 0, 306 6, 300 6, 300 0"
+    rows = [("t1", "b1", circle(0, 0, 0), 0), ("e1", None, circle(0, 0, 0.5), 1), ("t2", "b2", _ring([(100, 0), (120, 0), (120, 20), (100, 20)]), 0), ("e2", "b1", notched, 2)]
+    rows += [("t3", "b3", two(p, q), 0), ("e3", "b3", two(q, p), 1), ("e4", None, circle(0.6, 0, 0), 1), ("t4", "b3", None, 0)]
+    df = spark.createDataFrame(rows, "key string, b string, wkt string, split int")
+    got = {tuple(r) for r in overlap.split_overlaps(df, "key", "b", "wkt", "split").collect()}
+    assert got == {("t1", "e1"), ("t2", "e2"), ("t1", "e2"), ("t3", "e3"), ("t4", "e3")}
+    counts = {r["eval"]: r["partners"] for r in overlap.overlap_counts(df, "key", "b", "wkt", "split").collect()}
+    assert counts == {"e1": 1, "e2": 2, "e3": 2}
+    assert overlap.overlap_counts(df.limit(0), "key", "b", "wkt", "split").count() == 0
