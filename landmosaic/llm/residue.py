@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ _WORD = re.compile(r"(?:[^\W\d_]|')+|\d+|[^\s\w]|_+")
 _DIGITS = re.compile(r"\d+")
 _HANGUL = re.compile(r"[가-힣ㄱ-ㆎ]")
 _STATUS = re.compile(r"^\W*[45]\d\d\s*[|:–-]|^\W*(?:http(?: status)?|error)\s+[45]\d\d\b|^\W*(?:fatal error|keyerror|traceback|error \[)|^\W*file \"[^\"]+\", line")
+_STATUS_WORDS = re.compile(r"[45]\d\d|error|traceback|file \"")
 _SCRIPT = re.compile(r"(?:javascript|scripting|scripts|\bjs\b).*(?:required|disabled|switched on|\bbefore\b|without|허용|켜야)|(?:enable|allow|requires|without)\b.*(?:javascript|scripting|scripts|\bjs\b)|(?:자바스크립트|스크립트|javascript).*(?:허용해야|켜야|꺼져)")
 _FILLER = re.compile(r"lorem ipsum|\basdf\b|\bqwer\b|\bzxcv\b|ㅁㄴㅇㄹ|가나다 가나다|텍스트 텍스트|\btext text\b|your text (?:goes )?here|입력하세요|예시 문구|샘플 텍스트|blah blah|xxxx xxxx|placeholder description|replace this paragraph|dummy text")
 #: The words that stand for a placeholder, for one in quotes, and for one in code.
@@ -54,10 +56,29 @@ def _hash(s: str, half: int = 0) -> int:
     return half * HALF + xxhash.xxh3_64_intdigest(s) % HALF
 
 
-def _words(t: str) -> list[str]:
+#: Buckets of words by half, kept between texts; beyond WORD_STORE words the store starts anew, which changes no result.
+WORD_STORE = 400_000
+_word_buckets: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+
+def _buckets(words: set[str], half: int) -> set[int]:
+    """The buckets of plain words."""
+    known = _word_buckets[half]
+    if len(known) > WORD_STORE:
+        known.clear()
+    out = set()
+    for w in words:
+        at = known.get(w)
+        if at is None:
+            at = known[w] = half * HALF + xxhash.xxh3_64_intdigest("w " + w) % HALF
+        out.add(at)
+    return out
+
+
+def _words(t: str, quotes: bool = True) -> list[str]:
     """Lower-case words and signs, digits alike. Words in quotes are marked: they are spoken of, not used."""
     t = _DIGITS.sub("0", t.lower())
-    if not _QUOTE.search(t):
+    if not quotes or not _QUOTE.search(t):
         return _WORD.findall(t)
     out, at = [], 0
     for q in _QUOTED.finditer(t):
@@ -84,9 +105,14 @@ def passages(text: str | None) -> list[dict]:
     for p in raw:
         seen[p] = seen.get(p, 0) + 1
     out = []
+    # what the whole text lacks, no passage of it has
+    whole = body.lower()
+    slotty, quotes, hangul = _SLOTTY.search(body) is not None, _QUOTE.search(body) is not None, _HANGUL.search(body) is not None
+    filler, status = _FILLER.search(whole) is not None, _STATUS_WORDS.search(whole) is not None
+    script = "script" in whole or "js" in whole or "스크립트" in whole
     for p in raw:
         t, found = p, []
-        if _SLOTTY.search(p):
+        if slotty and _SLOTTY.search(p):
             quoted = [m.span() for m in _QUOTED.finditer(p)]
 
             def mark(m: re.Match, p: str = p, quoted: list = quoted, found: list = found) -> str:
@@ -99,9 +125,9 @@ def passages(text: str | None) -> list[dict]:
                 return f" qx{kind}xq "
 
             t = SLOT.sub(mark, p)
-        words = _words(t)
-        half = 0 if _HANGUL.search(t) else 1
-        feats = {"w " + w for w in words}
+        words = _words(t, quotes)
+        half = 0 if hangul and _HANGUL.search(t) else 1
+        feats: set[str] = set()
         slots, k = [], 0
         if t is not p:
             for i, w in enumerate(words):
@@ -116,10 +142,12 @@ def passages(text: str | None) -> list[dict]:
             feats.add("repeated words")
         if seen[p] > 1 and len(plain) >= 2:
             feats.add("repeated passage")
-        low = p.lower()
-        bare = _QUOTED.sub(" ", low) if _QUOTE.search(low) else low
-        seed = 2 if _FILLER.search(bare) else 3 if _STATUS.search(low) or (("script" in bare or "js" in bare or "스크립트" in bare) and _SCRIPT.search(bare)) else 0
-        out.append({"feats": sorted({_hash(f, half) for f in feats}), "seed": seed, "n": len(plain), "slots": slots})
+        seed = 0
+        if filler or status or script:
+            low = p.lower()
+            bare = _QUOTED.sub(" ", low) if quotes else low
+            seed = 2 if filler and _FILLER.search(bare) else 3 if (status and _STATUS.search(low)) or (script and _SCRIPT.search(bare)) else 0
+        out.append({"feats": sorted(_buckets(set(words), half).union(_hash(f, half) for f in feats)), "seed": seed, "n": len(plain), "slots": slots})
     page = len(text) <= SHORT and "```" not in text and any(o["seed"] == 3 for o in out)
     of = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
     for o in out:
@@ -136,11 +164,21 @@ _PASSAGE = pa.schema([("key", pa.int64()), ("seed", pa.int8()), ("n", pa.int32()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(values: list[list[int]]) -> pa.Array:
+        at = np.zeros(len(values) + 1, np.int32)
+        np.cumsum([len(v) for v in values], out=at[1:])
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.fromiter(chain.from_iterable(values), np.int32, at[-1])))
+
     for big in batches:
         for start in range(0, big.num_rows, 512):
             b = big.slice(start, 512)
-            rows = [p | {"key": k} for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in passages(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _PASSAGE], schema=_PASSAGE)
+            rows, keys = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = passages(t)
+                rows += found
+                keys += [k] * len(found)
+            made = {f.name: lists([r[f.name] for r in rows]) if pa.types.is_list(f.type) else pa.array(keys if f.name == "key" else [r[f.name] for r in rows], f.type) for f in _PASSAGE}
+            yield pa.RecordBatch.from_arrays(list(made.values()), schema=_PASSAGE)
 
 
 def context_classes(cut: DataFrame) -> np.ndarray:
