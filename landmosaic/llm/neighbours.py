@@ -21,19 +21,24 @@ FIT_ROWS = 20_000
 ROTATIONS = 2
 #: Vectors that share a substring on average; sets its length.
 BUCKET = 1024
-#: Share of pairs at REACH_COSINE that should share at least one substring; sets the number of substrings.
-TARGET, REACH_COSINE = 0.985, 0.88
+#: Share of the pairs at the least cosine asked for that should share a substring; sets the number of substrings. Closer pairs share one more often.
+TARGET = 0.95
+#: Rows of the sample whose pairs tell how many bits differ at the least cosine, and how many such pairs tell enough.
+PROBE_ROWS, ENOUGH_PAIRS = 2000, 200
+#: Crowded buckets that are broadcast; more are joined by a shuffle.
+CROWDED_SENT = 100_000
 #: Rows of a bucket that are compared in one block; larger buckets are cut into blocks and all pairs of blocks are compared.
 BLOCK = 8192
 
 
 @dataclass(frozen=True)
 class Codes:
-    """Centre, rotations (dim x bits) and, for each substring, its bit positions."""
+    """Centre, rotations (dim x bits), for each substring its bit positions, and the Hamming radius."""
 
     centre: np.ndarray
     rotation: np.ndarray
     substrings: list[np.ndarray]
+    radius: int
 
 
 def usable(df: DataFrame, key: str, dim_column: str, vector: str, dim: int) -> DataFrame:
@@ -57,13 +62,16 @@ def usable(df: DataFrame, key: str, dim_column: str, vector: str, dim: int) -> D
     return slim.mapInArrow(scale, "k bigint, v array<float>").groupBy("k").agg(F.max("v").alias("v")).withColumnRenamed("k", key)
 
 
-def learn_codes(sample: np.ndarray, n: int, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 11) -> Codes:
+def learn_codes(sample: np.ndarray, n: int, least: float, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 11) -> Codes:
     """Iterative quantisation: rotations for which the signs lose least of the vectors, each from another start.
 
-    Substrings are as long as it takes for n vectors to share one with about
-    BUCKET others, and so many that a pair at REACH_COSINE misses all of them
-    with probability 1 - TARGET. The first ones are disjoint; when the bits
-    are used up, further ones take other combinations of bits.
+    How many bits differ between vectors at the cosine ``least`` is measured
+    on pairs of the sample (where it has few, the angle tells it). The Hamming
+    radius is their mean and three standard deviations. Substrings are as long
+    as it takes for n vectors to share one with about BUCKET others, and so
+    many that such a pair misses all of them with probability 1 - TARGET, at
+    any n. The first ones are disjoint; when the bits are used up, further
+    ones take other combinations of bits.
     """
     rng = np.random.default_rng(seed)
     centre = sample.mean(axis=0)
@@ -78,16 +86,34 @@ def learn_codes(sample: np.ndarray, n: int, rotations: int = ROTATIONS, rounds:
         parts.append(r)
     rotation = np.concatenate(parts, axis=1)
     bits = rotation.shape[1]
+    flips = _flips_at(sample, (x @ rotation) > 0, least)
+    if len(flips) < ENOUGH_PAIRS:
+        p = math.acos(min(1.0, max(-1.0, least))) / math.pi
+        flips = np.clip(rng.binomial(bits, p, 4000), 0, bits)
+    radius = min(bits, int(flips.mean() + 3 * flips.std()))
     length = int(min(24, max(4, round(math.log2(max(2, n) / BUCKET)))))
-    share = (1 - math.acos(REACH_COSINE) / math.pi) ** length
-    count = max(4, math.ceil(math.log(1 - TARGET) / math.log(1 - share)))
+    miss = 1 - (1 - flips / bits) ** length
+    count = 4
+    while count < 4096 and (miss**count).mean() > 1 - TARGET:
+        count += 1
     substrings, pool = [], np.zeros(0, int)
     for _ in range(count):
         if len(pool) < length:
             pool = rng.permutation(bits)
         substrings.append(np.sort(pool[:length]))
         pool = pool[length:]
-    return Codes(centre, rotation, substrings)
+    return Codes(centre, rotation, substrings, radius)
+
+
+def _flips_at(sample: np.ndarray, bit: np.ndarray, least: float, band: float = 0.05) -> np.ndarray:
+    """Numbers of differing bits of the sample's pairs with a cosine from ``least`` to ``least`` + ``band``."""
+    out = []
+    for start in range(0, min(len(sample), PROBE_ROWS), 250):
+        cos = sample[start : start + 250] @ sample.T
+        i, j = np.nonzero((cos >= least) & (cos < least + band))
+        keep = i + start < j
+        out.append((bit[i[keep] + start] != bit[j[keep]]).sum(axis=1))
+    return np.concatenate(out) if out else np.zeros(0, int)
 
 
 def _postings(vectors: DataFrame, key: str, codes: Codes) -> DataFrame:
@@ -112,12 +138,12 @@ def _postings(vectors: DataFrame, key: str, codes: Codes) -> DataFrame:
     return vectors.select(key, "v").mapInArrow(run, "t int, s int, id bigint, " + ", ".join(f"h{w} bigint" for w in range(words)))
 
 
-def _compare(codes: Codes, radius: int):
+def _compare(codes: Codes):
     """All pairs within the Hamming radius in a group of buckets or a pair of blocks.
 
     A pair is given by the first substring that it shares, so none comes twice.
     """
-    words = codes.rotation.shape[1] // 64
+    words, radius = codes.rotation.shape[1] // 64, codes.radius
     masks = []
     for at in codes.substrings:
         m = np.zeros(words * 64, dtype=np.uint8)
@@ -166,6 +192,12 @@ def _compare(codes: Codes, radius: int):
     return run
 
 
+def _classes(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, v, h1, h2) of all vectors and (h1, h2, id, v) of the classes of equal ones, each with its least id. Vectors are equal if 128 bits of hashes are."""
+    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    return flat, durable(flat.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v")))
+
+
 def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: int = 64) -> DataFrame:
     """The k most similar others of every vector with a cosine of at least ``least``.
 
@@ -175,37 +207,40 @@ def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: i
     binary code; the code is cut into substrings, each indexed. Codes in a
     Hamming radius r of each other share one of r + 1 disjoint substrings, and
     most pairs share one much sooner. Codes that share a substring are
-    compared whole, and pairs within the radius that the cosine ``least``
-    (plus three standard deviations) allows are ranked by their floats. The
-    work per vector is BUCKET code comparisons per substring at any size. A
+    compared whole, and pairs within the radius are ranked by their floats.
+    Probing all substrings near a substring, which alone would be certain to
+    meet every code within the radius, is not done: at the radius of such a
+    cosine it would look up thousands of buckets for each vector. Instead
+    there are so many substrings that equal ones meet a pair at ``least`` with
+    probability TARGET (see :func:`learn_codes`). The work per vector is
+    BUCKET code comparisons per substring at any size. A
     bucket with more than BLOCK codes is cut into blocks and every pair of
     blocks is a task of its own, so nothing is capped.
 
     Ties in the cosine go to the lesser key. Returns (id, other, cosine).
     """
     spark = vectors.sparkSession
-    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v")
-    cls = durable(flat.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
+    flat, cls = _classes(vectors, key)
     n = cls.count()
     empty = spark.createDataFrame([], "id bigint, other bigint, cosine double")
     if not n:
         return empty
     sample = np.array([r["v"] for r in cls.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], dtype=np.float64)
-    codes = learn_codes(sample, n)
+    codes = learn_codes(sample, n, least)
     bits = codes.rotation.shape[1]
-    p = math.acos(min(1.0, least)) / math.pi
-    radius = int(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
     posted = _postings(cls, "id", codes)
     crowd = posted.groupBy("t", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    crowd = crowd.select("t", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    crowd = durable(crowd.select("t", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    if crowd.limit(CROWDED_SENT + 1).count() <= CROWDED_SENT:
+        crowd = F.broadcast(crowd)
     # plain buckets travel in groups of neighbours; crowded ones as pairs of blocks
     posted = posted.join(crowd, ["t", "s"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     tasks = F.when(F.col("parts").isNull(), F.array(F.struct(F.shiftright("s", 3).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct((-1 - F.col("s")).alias("g"), F.least("part", o).cast("int").alias("i"), F.greatest("part", o).cast("int").alias("j")))
     )
     blocks = posted.withColumn("task", F.explode(tasks)).select("t", "s", "id", "part", "task.*", *[f"h{w}" for w in range(bits // 64)])
-    pairs = durable(blocks.groupBy("t", "g", "i", "j").applyInPandas(_compare(codes, radius), "a bigint, b bigint"))
+    pairs = durable(blocks.groupBy("t", "g", "i", "j").applyInPandas(_compare(codes), "a bigint, b bigint"))
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,8 +290,7 @@ def nearest_of_all(vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
     task of its own, so the work grows with the square of the classes. Ties
     in the cosine go to the lesser key. Returns (id, other, cosine).
     """
-    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v")
-    cls = durable(flat.groupBy("v").agg(F.min("id").alias("id")))
+    flat, cls = _classes(vectors, key)
     parts = max(1, math.ceil(cls.count() / BLOCK))
     placed = cls.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
     tasks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
@@ -267,7 +301,7 @@ def nearest_of_all(vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
 def _lists(flat: DataFrame, cls: DataFrame, both: DataFrame, k: int) -> DataFrame:
     """(id, other, cosine): the k best of every vector, from the similar classes (c, d, cosine)."""
     # of a class only its k + 1 least members can be anyone's nearest, as they tie
-    members = durable(flat.join(cls.select(F.col("v").alias("v2"), F.col("id").alias("c")), F.col("v") == F.col("v2")).select("id", "c"))
+    members = durable(flat.join(cls.select("h1", "h2", F.col("id").alias("c")), ["h1", "h2"]).select("id", "c"))
     few = durable(_least_members(members, k + 1))
     others = both.join(few.select(F.col("c").alias("d"), "m"), "d").select("c", "cosine", F.explode(F.slice("m", 1, k)).alias("other"))
     best = others.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).select("c", "other", "cosine")
