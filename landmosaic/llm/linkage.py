@@ -7,7 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ SURE_M = 40
 CROWD = 200
 #: A name block with more rows on one side gives only the pairs that the rules leave possible.
 NAME_CROWD = 24
-#: Iterations of the alternating directions, and how many lie between two writes to the shared folder.
-STEPS, STEPS_PER_WRITE = 18, 6
-RHO = 1.0
+#: Most iterations of the alternating directions, and the change of a truth at which they end.
+STEPS, CLOSE = 60, 0.08
+RHO = 8.0
+#: Truth of a match.
+LEAST = 0.5
 
 # Revised Romanization by position in the syllable; legal forms.
 _INITIAL = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
@@ -267,73 +271,125 @@ def kind_affinity(seen: DataFrame) -> DataFrame:
     return n.select("ka", "kb", F.when(share > 0.1, 1.0).when(share > 0.03, 0.0).otherwise(-0.5).alias("affinity"))
 
 
-#: Weights of the rules; each is a hinge on the truth m of a match.
+#: Weights of the rules on the truth m of a match. A rule for it with the body b is the hinge w max(0, b - m), one against it w max(0, m - (1 - b)).
 RULES = {
-    "name": 3.0,  # m >= similarity of the names
-    "tel": 3.5,  # m >= 1 for equal, m <= 0 for unequal telephones
+    "name": 3.0,  # like names
+    "tel": 3.5,
     "addr": 2.3,
-    "near": 1.2,  # m >= closeness
+    "near": 1.2,
     "kind": 1.2,
     "branch": 1.6,
-    "far": 2.5,  # m <= 0 beyond NEAR_M, unless coordinates are wrong
-    "prior": 3.3,  # m <= 0
+    "far": 2.5,  # against: beyond NEAR_M, unless coordinates are wrong
+    "prior": 3.3,  # against: any two records
 }
+#: Rules for a match and their weights; rules against it and theirs.
+FOR = {"name": RULES["name"], "tel": RULES["tel"], "addr": RULES["addr"], "near": RULES["near"], "kind": RULES["kind"], "branch": RULES["branch"]}
+AGAINST = {"name": RULES["name"] * 1.5, "tel": RULES["tel"] * 0.5, "addr": RULES["addr"] * 0.6, "far": RULES["far"], "kind": RULES["kind"], "branch": RULES["branch"], "prior": RULES["prior"]}
+_WEIGHTS = np.array([*FOR.values(), *AGAINST.values()])
+_N = len(FOR)
 
 
 def rules(seen: DataFrame, affinity: DataFrame) -> DataFrame:
-    """(a, b, up, down): total weights of the grounded rules that pull a match up, scaled by their bodies, and down.
+    """(a, b, bodies): the truths, in [0, 1], of the bodies of the grounded rules: those of FOR, then those of AGAINST. A body that nothing is known of is 0."""
+    s = seen.join(F.broadcast(affinity), ["ka", "kb"], "left")  # a row for each two words of the codebooks
+    name, gap = F.col("name"), F.col("gap")
+    kind = F.when(F.col("ka").isNull() | F.col("kb").isNull(), 0.0).otherwise(F.coalesce("affinity", F.lit(-1.0)))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+    pro = [(name - 0.6) / 0.4, F.col("tel"), F.col("addr"), 1 - gap / NEAR_M, kind, F.col("branch")]
+    con = [(0.6 - name) / 0.6, -F.col("tel"), -F.col("addr"), (gap > NEAR_M).cast("double"), -kind, -F.col("branch"), F.lit(1.0)]
+    return s.select("a", "b", F.array(*[unit(x) for x in (*pro, *con)]).alias("bodies"))
+
+
+def _least_loss(bodies: np.ndarray, at: np.ndarray | None = None, rho: float = 0.0) -> np.ndarray:
+    """Row by row the m in [0, 1] that minimises the rules' hinges, plus rho / 2 (m - at)^2; the least one of equals.
 
-    Rules of one variable are hinges w max(0, body - m) and w max(0, m - (1 - body)); at the truths 0 and 1
-    where they act they are linear, so they add up.
+    The slope grows with m and is a step function between the hinges' ends,
+    so the minimum is found among those ends and, between them, where the
+    quadratic term meets the step.
     """
-    s = seen.join(affinity, ["ka", "kb"], "left")
-    name = F.col("name")
-    near = F.greatest(F.lit(0.0), 1 - F.col("gap") / NEAR_M)
-    w = RULES
-    kind = F.when(F.col("ka").isNull() | F.col("kb").isNull(), 0.0).otherwise(F.coalesce("affinity", F.lit(-1.0)))
-    c = F.coalesce
-    up = (
-        c(F.when(name > 0.6, (name - 0.6) / 0.4 * w["name"]), F.lit(0.0)) + c(F.when(F.col("tel") == 1, w["tel"]), F.lit(0.0)) + c(F.when(F.col("addr") == 1, w["addr"]), F.lit(0.0))
-        + c(near * w["near"], F.lit(0.0)) + F.greatest(kind, F.lit(0.0)) * w["kind"] + F.greatest(F.col("branch"), F.lit(0.0)) * w["branch"]
-    )
-    down = (
-        c(F.when(name < 0.6, (0.6 - name) / 0.6 * w["name"] * 1.5), F.lit(0.0)) + c(F.when(F.col("tel") == -1, w["tel"] * 0.5), F.lit(0.0)) + c(F.when(F.col("addr") == -1, w["addr"] * 0.6), F.lit(0.0))
-        + c(F.when(F.col("gap") > NEAR_M, w["far"]), F.lit(0.0)) + F.greatest(-kind, F.lit(0.0)) * w["kind"] + F.greatest(-F.col("branch"), F.lit(0.0)) * w["branch"] + F.lit(w["prior"])
-    )
-    return s.select("a", "b", up.alias("up"), down.alias("down"), "name", "gap", "tel", "addr")
-
-
-def solve(pulls: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(a, b, truth): the most probable truths under the rules, exclusivity and transitivity, by alternating directions.
-
-    Minimises sum of up max(0, 1 - m) + down max(0, m) over m in [0, 1] with,
-    for each record, the truths of its matches adding up to 1 at most. That is
-    exclusivity, and with two lists also transitivity: two matches of one
-    record would make two records of the other list the same, whose truth is
-    0. Each constraint keeps a copy of the variables it touches; its step
-    takes from all copies of a record an equal part of what is over 1 (one
-    sum per record, map-side combined); the rules' step is closed; the copies
-    are then averaged. Every step is a few aggregates over pairs, so a record
-    with very many candidates needs no task of its own.
+    n = len(bodies)
+    ends = np.concatenate([bodies[:, :_N], 1 - bodies[:, _N:], np.zeros((n, 1)), np.ones((n, 1))], axis=1)
+    order = np.argsort(ends, axis=1)
+    ends = np.take_along_axis(ends, order, axis=1)
+    # past its end a rule for the match no longer pulls and one against it begins to; both add the weight to the slope
+    w = np.concatenate([_WEIGHTS, [0.0, 0.0]])[order]
+    slope = np.cumsum(w, axis=1) - _WEIGHTS[:_N].sum()  # right of each end
+    if at is None or not rho:
+        first = (slope >= -1e-9).argmax(axis=1)
+        return np.clip(ends[np.arange(n), first], 0.0, 1.0)
+    left = np.concatenate([np.full((n, 1), -_WEIGHTS[:_N].sum()), slope[:, :-1]], axis=1)
+    # the least end at which the slope right of it, quadratic term included, isn't negative
+    first = (slope + rho * (ends - at[:, None]) >= 0).argmax(axis=1)
+    rows = np.arange(n)
+    none = ~(slope + rho * (ends - at[:, None]) >= 0).any(axis=1)
+    inside = at - left[rows, first] / rho  # the minimum left of that end, if it lies there
+    return np.clip(np.where(none, at - slope[:, -1] / rho, np.minimum(ends[rows, first], inside)), 0.0, 1.0)
+
+
+def _grid(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(_WEIGHTS))
+
+
+def solve(grounded: DataFrame, steps: int = STEPS, close: float = CLOSE) -> DataFrame:
+    """(a, b, truth, gain): the most probable truths under the rules, exclusivity and transitivity, by alternating directions.
+
+    Minimises the sum of all rules' hinges over m in [0, 1] with, for each
+    record, the truths of its matches adding up to 1 at most. That is
+    exclusivity. Transitivity, m(a, b) + m(a', b) - 1 <= same(a, a'), has the
+    same constraint: ids of one list stand for different places, so
+    same(a, a') is 0, and the sum over all candidates of b is the stronger
+    bound. Where a pair's own rules are least at 0 it stays 0 in the joint
+    optimum too, since constraints only press down; such pairs are left out.
+    So are pairs that are their records' only one, which no constraint
+    touches: their own optimum is their truth.
+
+    For the rest each constraint keeps a copy of the truths it touches, and so
+    do the rules. A record's copies give up an equal part of what is over 1,
+    the rules' step is :func:`_least_loss`, and the copies are averaged. Sums
+    per record are aggregates that combine before the shuffle, joined back, so
+    a record with very many candidates needs no task of its own. Ends when no
+    truth moves and no copy differs by more than ``close``, or after ``steps``.
     """
-    z = durable(pulls.where("up > 0.45 * down").select("a", "b", (F.col("up") - F.col("down")).alias("gain"), F.lit(0.5).alias("m"), F.lit(0.0).alias("ua"), F.lit(0.0).alias("ub"), F.lit(0.0).alias("ur")))
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    for step in range(steps):
-        for k, u in (("a", "ua"), ("b", "ub")):
-            w = Window.partitionBy(k)
-            v = F.col("m") - F.col(u)
-            over = F.greatest(F.lit(0.0), F.sum(v).over(w) - 1) / F.count(F.lit(1)).over(w)
-            z = z.withColumn(f"x{k}", v - over)
-        # the rules' copy: argmin of -gain x + rho / 2 (x - (m - u))^2 over [0, 1]
-        z = z.withColumn("xr", clip(F.col("m") - F.col("ur") + F.col("gain") / (6.0 * RHO)))
-        z = z.withColumn("new", clip((F.col("xa") + F.col("ua") + F.col("xb") + F.col("ub") + F.col("xr") + F.col("ur")) / 3))
-        z = z.select("a", "b", "gain", F.col("new").alias("m"), *[(F.col(u) + F.col(x) - F.col("new")).alias(u) for u, x in (("ua", "xa"), ("ub", "xb"), ("ur", "xr"))])
-        if step % STEPS_PER_WRITE == STEPS_PER_WRITE - 1:
-            z = durable(z)
-    return z.select("a", "b", F.col("m").alias("truth"), "gain")
-
-
-def matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = _grid(b, "bodies")
+            m = _least_loss(bodies)
+            keep = pa.array(m > 0)
+            gain = bodies[:, :_N] @ _WEIGHTS[:_N] - bodies[:, _N:] @ _WEIGHTS[_N:]
+            yield pa.RecordBatch.from_arrays([*[c.filter(keep) for c in (b.column("a"), b.column("b"), b.column("bodies"), pa.array(gain), pa.array(m))]], names=["a", "b", "bodies", "gain", "m"])
+
+    own = durable(grounded.select("a", "b", "bodies").mapInArrow(alone, "a string, b string, bodies array<double>, gain double, m double"))
+    per = lambda k: own.groupBy(k).agg(F.count(F.lit(1)).alias(f"n{k}"))
+    own = durable(own.join(per("a"), "a").join(per("b"), "b"))
+    free = (F.col("na") == 1) & (F.col("nb") == 1)
+    zero = F.lit(0.0)
+    # adaptive execution makes as few partitions as the contested pairs need
+    z = durable(own.where(~free).repartition("a").select("a", "b", "bodies", "gain", "m", zero.alias("ua"), zero.alias("ub"), zero.alias("ur"), zero.alias("apart")))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, ua, ub, ur, oa, ob = (b.column(c).to_numpy(zero_copy_only=False) for c in ("m", "ua", "ub", "ur", "oa", "ob"))
+            xa, xb = m - ua - oa, m - ub - ob
+            xr = _least_loss(_grid(b, "bodies"), m - ur, RHO)
+            new = np.clip((xa + ua + xb + ub + xr + ur) / 3, 0.0, 1.0)
+            apart = np.max(np.abs([new - m, xa - new, xb - new, xr - new]), axis=0) if b.num_rows else new
+            out = [new, ua + xa - new, ub + xb - new, ur + xr - new, apart]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("bodies"), b.column("gain"), *map(pa.array, out)], names=["a", "b", "bodies", "gain", "m", "ua", "ub", "ur", "apart"])
+
+    def over(k: str) -> DataFrame:
+        v = F.col("m") - F.col(f"u{k}")
+        return z.groupBy(k).agg((F.greatest(F.lit(0.0), F.sum(v) - 1) / F.count(F.lit(1))).alias(f"o{k}"))
+
+    for _ in range(steps):
+        # each step reads the last one three times, so it is written
+        z = durable(z.join(over("a"), "a").join(over("b"), "b").select(*z.columns, "oa", "ob").mapInArrow(step, z.schema))
+        if (z.agg(F.max("apart")).first()[0] or 0.0) <= close:
+            break
+    return own.where(free).select("a", "b", F.col("m").alias("truth"), "gain").unionByName(z.select("a", "b", F.col("m").alias("truth"), "gain"))
+
+
+def matches(a: DataFrame, b: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, confidence) of the records of two lists that stand for the same place; each record at most once.
 
     ``a`` and ``b`` have (id, name, kind, x, y, addr, tel), coordinates in one
@@ -345,8 +401,6 @@ def matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     """
     ca, cb = durable(clean(a)), durable(clean(b))
     seen = durable(evidence(durable(candidates(ca, cb)), ca, cb))
-    solved = durable(solve(rules(seen, kind_affinity(seen))))
-    first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("truth"), F.desc("gain"), "a", "b"))
-    ranked = solved.where(F.col("truth") >= least).withColumns({"ra": first("a"), "rb": first("b")})
-    return ranked.where("ra = 1 AND rb = 1").select("a", "b", F.round("truth", 4).alias("confidence"))
-
+    solved = durable(solve(rules(seen, kind_affinity(seen))).where(F.col("truth") >= least))
+    first = lambda k: solved.groupBy(F.col(k).alias("k")).agg(F.min(F.struct(-F.col("truth"), -F.col("gain"), "a", "b")).alias("f")).select("f.a", "f.b")
+    return solved.join(first("a"), ["a", "b"]).join(first("b"), ["a", "b"]).select("a", "b", F.round("truth", 4).alias("confidence"))
