@@ -29,7 +29,7 @@ def _cells(x0: str, x1: str, y0: str, y1: str, stride: int, size: int) -> str:
     return f"(SELECT CAST(x AS DOUBLE) AS xmin, CAST(y AS DOUBLE) AS ymin, CAST(x + {size} AS DOUBLE) AS xmax, CAST(y + {size} AS DOUBLE) AS ymax, j, i FROM ({x}), ({y}))"
 
 
-_SNAP = lambda stride, size: _cells("0", "9300", "0", "1500", stride, size)
+_SNAP = lambda stride, size: _cells("0", "9500", "0", "1500", stride, size)
 
 
 def _covered(cells: str, size: int) -> str:
