@@ -99,8 +99,8 @@ def _pano(t: Tables) -> DataFrame:
     return j.select("o_orderkey", F.when(known, c("px")).otherwise(c("o_totalprice")).alias("x"), known.alias("from_pano"))
 
 
-_CATALOGUE = [("east", "equals", "n_name", "JAPAN"), ("i", "prefix", "n_name", "I"), ("ends", "regex", "n_name", "A$")]
-q("C14", "SELECT 'east' AS region, n_nationkey FROM nation WHERE n_name = 'JAPAN' UNION ALL SELECT 'i', n_nationkey FROM nation WHERE starts_with(n_name, 'I') UNION ALL SELECT 'ends', n_nationkey FROM nation WHERE regexp_matches(n_name, 'A$')")(lambda t: _catalogue(t))
+_CATALOGUE = [("east", "equals", "n_name", "NATION_3"), ("i", "prefix", "n_name", "NATION_1"), ("ends", "regex", "n_name", "[05]$")]
+q("C14", "SELECT 'east' AS region, n_nationkey FROM nation WHERE n_name = 'NATION_3' UNION ALL SELECT 'i', n_nationkey FROM nation WHERE starts_with(n_name, 'NATION_1') UNION ALL SELECT 'ends', n_nationkey FROM nation WHERE regexp_matches(n_name, '[05]$')")(lambda t: _catalogue(t))
 
 
 def _catalogue(t: Tables) -> DataFrame:
