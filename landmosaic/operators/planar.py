@@ -167,6 +167,34 @@ def nearest_distance(points: DataFrame, key: str, size: float, rounds: int = 24)
     return done.unionByName(todo.select("k", F.lit(None).cast("double").alias("d"))).toDF(key, "distance")
 
 
+def nearest_box(points: DataFrame, key: str, boxes: DataFrame, ref: str, size: float, rounds: int = 24) -> DataFrame:
+    """(key, ref, distance): the box next to each point, 0 if it holds the point; of equals the least ref.
+
+    ``boxes`` has ref and xmin..ymax; a box of no size is a point. Rings of
+    cells as in :func:`nearest_distance`: a box within s of a point covers one
+    of the 3 x 3 cells of size s around it, so a distance up to s is final.
+    Each round looks only at boxes in cells that open points still ask for.
+    """
+    todo, done = durable(points.select(F.col(key).alias("k"), "x", "y")), None
+    sides = [F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
+    base = boxes.select(F.col(ref).alias("ref"), *sides)
+    dx = F.greatest(F.lit(0.0), F.col("_xmin") - F.col("x"), F.col("x") - F.col("_xmax"))
+    dy = F.greatest(F.lit(0.0), F.col("_ymin") - F.col("y"), F.col("y") - F.col("_ymax"))
+    for i in range(rounds):
+        s = size * 2**i
+        around = todo.withColumn("cx", F.explode(F.sequence(cell("x", s) - 1, cell("x", s) + 1))).withColumn("cy", F.explode(F.sequence(cell("y", s) - 1, cell("y", s) + 1)))
+        covers = base.withColumn("cx", F.explode(F.sequence(cell("_xmin", s), cell("_xmax", s)))).withColumn("cy", F.explode(F.sequence(cell("_ymin", s), cell("_ymax", s))))
+        best = around.join(covers, ["cx", "cy"]).withColumn("d", F.hypot(dx, dy)).groupBy("k").agg(F.min(F.struct("d", "ref")).alias("b"))
+        hit = durable(todo.join(best.where(F.col("b.d") <= s), "k", "left"))
+        found = hit.where("b IS NOT NULL").select("k", "b.ref", "b.d")
+        done = found if done is None else done.unionByName(found)
+        todo = hit.where("b IS NULL").select("k", "x", "y")
+        if not todo.limit(1).count():
+            break
+    kind = dict(boxes.dtypes)[ref]
+    return done.unionByName(todo.select("k", F.lit(None).cast(kind).alias("ref"), F.lit(None).cast("double").alias("d"))).toDF(key, ref, "distance")
+
+
 def thin(points: DataFrame, key: str, priority: str, spacing: float) -> DataFrame:
     """The points that greedy thinning keeps: in order of priority, each at least ``spacing`` from all kept before.
 

@@ -8,14 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order(order: list[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
-
-def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys match each other."""
-    w = Window.partitionBy(*keys).orderBy(*_order(order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def keep_first(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
+    """The first row of each key in ascending order, nulls first; null keys match each other. An aggregate: a frequent key costs one row per task."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_f")).select("_f.*")
 
 
 def latest(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
@@ -30,9 +25,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return latest(both, keys, "_s").drop("_s")
 
 
-def duplicate_flag(keys: list[str | Column], order: list[str | Column]) -> Column:
-    """True for all but the first row of each key."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(order))) > 1
+def with_repeats(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: true for all but the first row of each key; rows that tie in ``order`` with the first are first too. Null keys match each other.
+
+    First rows come from an aggregate that is joined back, so a frequent key is spread over tasks.
+    """
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    return null_safe_join(df, first, keys).withColumn(name, F.struct(*order) != F.col("_first")).drop("_first")
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -41,7 +41,7 @@ def sums(df: DataFrame, by: list[str], vec: str) -> DataFrame:
 def standardized(df: DataFrame, vec: str, ddof: int = 0) -> DataFrame:
     """``df`` with ``vec`` scaled to mean 0 and deviation 1 per dimension; dimensions without spread become 0."""
     r = sums(df, [], vec).first()
-    if r is None:
+    if r is None or not r["n"]:
         return df
     n, s, ss = r["n"], np.array(r["s"]), np.array(r["ss"])
     mean = s / n

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmosaic.operators import grids, planar, relational, samples, vectors
+from landmosaic.operators import planar, relational, samples, vectors
 from landmosaic.plans.reference import BOX, GRID, Tables, _overlap_cells, c, lit, n_, q, r6
 from landmosaic.plans.scalar import _UNIT
 from landmosaic.plans.scenes import _ENT, entities

@@ -1,6 +1,6 @@
 """All queries of the operator inventory; each module registers its own."""
 
-from landmosaic.plans import evaluation, quality, reference, scalar, scenes, shapes
+from landmosaic.plans import chains, evaluation, quality, reference, scalar, scenes, shapes, storage
 
 QUERIES, SQL = reference.QUERIES, reference.SQL
-MODULES = (evaluation, quality, reference, scalar, scenes, shapes)
+MODULES = (chains, evaluation, quality, reference, scalar, scenes, shapes, storage)

@@ -1,4 +1,4 @@
-"""Queries over the base tables, one for each operator of the inventory, each with its SQL.
+"""Relational queries over the base tables, and the views that all inventory queries share.
 
 Points, boxes and lines are derived from the keys of customer, part and
 orders, so that both engines compute the same numbers.
@@ -25,7 +25,6 @@ def at_() -> Column:
     return F.expr("unix_micros(ingested_at) AS at")
 
 
-
 class Tables:
     """The tables of a directory as attributes."""
 
@@ -87,37 +86,7 @@ q("S01", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quan
 q("S02", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")(
     lambda t: t.orders.join(t.customer.where("c_acctbal > 9000").select(c("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
 )
-q("S05", f"SELECT id, kind FROM {BOX} WHERE xmin < 3000 AND xmax > 1000 AND ymin < 3000 AND ymax > 1000")(lambda t: t.box.where("xmin < 3000 AND xmax > 1000 AND ymin < 3000 AND ymax > 1000").select("id", "kind"))
-q("S06", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r > 100 AND r <= 350")(
-    lambda t: ranked(t.orders.select("o_orderkey"), ["o_orderkey"]).where("rank0 >= 100 AND rank0 < 350").select("o_orderkey")
-)
 q("S07", "SELECT p_partkey, p_name FROM part WHERE p_type IS NOT NULL ORDER BY p_partkey LIMIT 50")(lambda t: t.part.where("p_type IS NOT NULL").orderBy("p_partkey").limit(50).select("p_partkey", "p_name"))
-q(
-    "S08",
-    r"SELECT source_shp, regexp_extract(source_shp, '(UQ\d+)', 1) AS layer, regexp_extract(source_shp, '(\d{5})', 1) AS region, regexp_extract(source_shp, '\.(\w+)$', 1) AS ext FROM togieeum_polygon_pois WHERE source_shp IS NOT NULL GROUP BY 1",
-)(lambda t: t.togieeum_polygon_pois.where("source_shp IS NOT NULL").select("source_shp").distinct().select("source_shp", F.regexp_extract("source_shp", r"(UQ\d+)", 1).alias("layer"), F.regexp_extract("source_shp", r"(\d{5})", 1).alias("region"), F.regexp_extract("source_shp", r"\.(\w+)$", 1).alias("ext")))
-q("S09", "SELECT s_suppkey, CAST((100 + 8 * s_suppkey - 100) // 8 AS BIGINT) AS features FROM supplier")(lambda t: t.supplier.select("s_suppkey", F.expr("(100 + 8 * s_suppkey - 100) div 8").alias("features")))
-q("S10", "SELECT p_partkey, regexp_extract(p_name || ' EPSG:' || CAST(5170 + p_partkey % 20 AS VARCHAR), 'EPSG:([0-9]+)', 1) AS epsg FROM part")(
-    lambda t: t.part.select("p_partkey", F.regexp_extract(F.concat("p_name", lit(" EPSG:"), (5170 + c("p_partkey") % 20).cast("string")), "EPSG:([0-9]+)", 1).alias("epsg"))
-)
-q("S12", "SELECT p_partkey FROM part WHERE regexp_matches(concat_ws(' ', p_name, p_type), '(ring|ECONOMY)')")(lambda t: t.part.where(F.concat_ws(" ", "p_name", "p_type").rlike("(ring|ECONOMY)")).select("p_partkey"))
-q("S15", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")(
-    lambda t: relational.latest(t.events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
-)
-q("S16", "SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings")(lambda t: t.embeddings.select("vec_id", "label").union(t.embeddings.select(c("vec_id") + 1000000, "label")))
-q("K02", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer UNION ALL SELECT c_custkey + 100000000, 'new' FROM customer WHERE c_custkey % 3 = 0")(
-    lambda t: relational.upsert(
-        t.customer.select(c("c_custkey").alias("k"), c("c_mktsegment").alias("v")),
-        t.customer.where("c_custkey % 3 = 0").select(F.explode(F.array(c("c_custkey"), c("c_custkey") + 100000000)).alias("k"), lit("new").alias("v")),
-        ["k"],
-    )
-)
-q("K04", f"SELECT id, 'POINT (' || CAST(CAST(x AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ')' AS geometry_wkt, 'WKT_EPSG_5186' AS geometry_format FROM {PTS}")(
-    lambda t: t.pts.select("id", F.format_string("POINT (%d %d)", c("x").cast("bigint"), c("y").cast("bigint")).alias("geometry_wkt"), lit("WKT_EPSG_5186").alias("geometry_format"))
-)
-q("K05", "SELECT p_partkey AS id, p_name AS name, NULL::DOUBLE AS bal FROM part UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")(
-    lambda t: t.part.select(c("p_partkey").alias("id"), c("p_name").alias("name")).unionByName(t.supplier.select(c("s_suppkey").alias("id"), c("s_name").alias("name"), c("s_acctbal").alias("bal")), allowMissingColumns=True)
-)
 # ---- projections and predicates --------------------------------------------------------------------------------------
 q("P01", "SELECT c_mktsegment, c_custkey, c_name, c_nationkey, c_acctbal FROM customer")(lambda t: t.customer.select("c_mktsegment", *[x for x in t.customer.columns if x != "c_mktsegment"]))
 q("P02", "SELECT n_nationkey AS nationkey, n_name AS name, n_regionkey AS regionkey FROM nation")(lambda t: t.nation.toDF(*[x.lower().removeprefix("n_") for x in t.nation.columns]))
@@ -130,36 +99,18 @@ q("P06", "SELECT id FROM " + LINE + " WHERE kind IN ('1-URGENT','2-HIGH','5-LOW'
 q("P07", "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'BUILD') OR regexp_matches(c_name, '7$')")(lambda t: t.customer.where(c("c_mktsegment").startswith("BUILD") | c("c_name").rlike("7$")).select("c_custkey"))
 q("P08", "SELECT geo2vec_internal_id FROM scene_entities WHERE geometry_wkt IS NOT NULL AND trim(geometry_wkt) <> ''")(lambda t: t.scene_entities.where("geometry_wkt IS NOT NULL AND trim(geometry_wkt) <> ''").select("geo2vec_internal_id"))
 q("P09", "SELECT scene_id FROM scene_grid WHERE coverage_ratio > 0 AND coverage_ratio <= 1 AND NOT isnan(coverage_ratio)")(lambda t: t.scene_grid.where(text.finite("coverage_ratio") & (c("coverage_ratio") > 0) & (c("coverage_ratio") <= 1)).select("scene_id"))
-q("P10", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'is_error' WHEN value < 3 THEN 'too_small' WHEN value > 50 THEN 'too_large' END AS reason FROM events")(
-    lambda t: t.events.select("event_id", text.first_reason(("is_error", c("event_type") == "error"), ("too_small", c("value") < 3), ("too_large", c("value") > 50)).alias("reason"))
-)
-q("P11", "SELECT geo2vec_internal_id, CASE WHEN building_id IS NULL THEN 'missing_id' WHEN geometry_wkt IS NULL THEN 'empty' WHEN area <= 0 THEN 'zero_area' END AS reason FROM scene_entities")(
-    lambda t: t.scene_entities.select("geo2vec_internal_id", text.first_reason(("missing_id", c("building_id").isNull()), ("empty", c("geometry_wkt").isNull()), ("zero_area", c("area") <= 0)).alias("reason"))
-)
 
 
-def _corridor(t: Tables) -> DataFrame:
-    w, h = c("xmax") - c("xmin"), c("ymax") - c("ymin")
-    b = t.box.withColumns(planar.shape_metrics(c("area"), 2 * (w + h), w, h))
-    hit = (c("compactness") <= 0.3) & (c("approx_width") <= 50) & (c("diagonal") >= 20) & ((c("aspect") >= 8) | (c("compactness") <= 0.2) | (c("approx_width") <= 4))
-    return b.select("id", F.coalesce(hit, lit(False)).alias("corridor"))
-
-
-q("P12", f"SELECT id, coalesce(comp <= 0.3 AND aw <= 50 AND diag >= 20 AND (asp >= 8 OR comp <= 0.2 OR aw <= 4), false) AS corridor FROM (SELECT id, 4*pi()*area/((2*((xmax-xmin)+(ymax-ymin)))*(2*((xmax-xmin)+(ymax-ymin)))) AS comp, area/greatest(xmax-xmin,ymax-ymin) AS aw, sqrt((xmax-xmin)*(xmax-xmin)+(ymax-ymin)*(ymax-ymin)) AS diag, greatest(xmax-xmin,ymax-ymin)/least(xmax-xmin,ymax-ymin) AS asp FROM {BOX})")(_corridor)
 q("P13", "SELECT row_id, epoch_us(ingested_at) AS at, regexp_matches(coalesce(dgm_nm,'NA') || ' ' || coalesce(lclas_cl,'NA'), '(주차장|공원|NA)') AS facility FROM togieeum_polygon_pois")(
     lambda t: t.togieeum_polygon_pois.select("row_id", at_(), text.pasted(" ", "dgm_nm", "lclas_cl").rlike("(주차장|공원|NA)").alias("facility"))
 )
 q("P14", "SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 40")(lambda t: t.events.orderBy(F.desc("value"), "event_id").limit(40).select("event_id"))
-q("P15", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")(lambda t: t.customer.join(t.orders.select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
 q("P16", "SELECT c_custkey, least(5000.0::DOUBLE, greatest(0.0::DOUBLE, c_acctbal)) AS bal FROM customer")(lambda t: t.customer.select("c_custkey", text.clamp(c("c_acctbal"), 0.0, 5000.0).alias("bal")))
 # ---- joins -----------------------------------------------------------------------------------------------------------
 q("J01", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(lambda t: t.customer.join(F.broadcast(t.nation), c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", "n_name"))  # 25 nations at any size
 q("J02", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")(
     lambda t: t.orders.where("o_orderstatus = 'F'").join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey")).select("o_orderkey", "c_mktsegment", "n_name")
 )
-q("J03", "SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS repeated_left, 0::BIGINT AS repeated_right, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS missing_right")(
-    lambda t: relational.one_to_one_errors(t.orders.select("o_custkey"), t.customer.select(c("c_custkey").alias("o_custkey")), "o_custkey")
-)
 q("J04", "SELECT coalesce(a.k, b.k) AS k, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT lang AS k, count(*) AS na FROM documents GROUP BY 1) a FULL JOIN (SELECT source AS k, count(*) AS nb FROM documents GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")(
     lambda t: relational.null_safe_join(t.documents.groupBy(c("lang").alias("k")).agg(F.count(lit(1)).alias("na")), t.documents.groupBy(c("source").alias("k")).agg(F.count(lit(1)).alias("nb")), ["k"], "full").fillna(0, ["na", "nb"]).select("k", "na", "nb")
 )
@@ -188,21 +139,6 @@ def _cells(t: Tables) -> DataFrame:
 
 
 q("J11", f"SELECT id, cell_id FROM {PTS} p LEFT JOIN {GRID} g ON floor(p.x/500) = floor(g.xmin/500) AND floor(p.y/500) = floor(g.ymin/500)")(lambda t: _cells(t).select("id", "cell_id"))
-q("J13", f"SELECT p.id, b.id AS region FROM {PTS} p JOIN (SELECT id, xmin, ymin, xmin + 2000 AS x1, ymin + 2000 AS y1 FROM {BOX} WHERE id % 50 = 0) b ON p.x >= b.xmin AND p.x < b.x1 AND p.y >= b.ymin AND p.y < b.y1 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY b.id) = 1")(lambda t: _region(t))
-
-
-def _region(t: Tables) -> DataFrame:
-    from landmosaic.operators.proximity import place_in_square
-
-    b = t.box.where("id % 50 = 0").select(c("id").alias("region"), (c("xmin") + 1000).alias("cx"), (c("ymin") + 1000).alias("cy"), lit(2000.0).alias("side"))
-    return place_in_square(t.pts, "x", "y", b, "region", "cx", "cy", "side", 1000.0).groupBy("id").agg(F.min("region").alias("region"))
-
-
-q("J14", f"SELECT id FROM {BOX} WHERE xmax > 2000 AND xmin < 5000 AND ymax > 2000 AND ymin < 5000")(lambda t: t.box.where("xmax > 2000 AND xmin < 5000 AND ymax > 2000 AND ymin < 5000").select("id"))
-q("J15", f"SELECT DISTINCT a.id FROM {BOX} a JOIN {BOX} b ON a.kind = b.kind AND a.id <> b.id AND a.xmin >= b.xmin AND a.ymin >= b.ymin AND a.xmax <= b.xmax AND a.ymax <= b.ymax AND b.area > a.area + 1e-6")(lambda t: planar.contained_boxes(t.box, "id", ["kind"], 100.0))
-q("J16", f"SELECT b.id, g.cell_id FROM {BOX} b JOIN {GRID} g ON floor((b.xmin+b.xmax)/2/500) = floor(g.xmin/500) AND floor((b.ymin+b.ymax)/2/500) = floor(g.ymin/500)")(
-    lambda t: t.box.withColumns({"gx": planar.cell((c("xmin") + c("xmax")) / 2, 500.0), "gy": planar.cell((c("ymin") + c("ymax")) / 2, 500.0)}).select("id", "gx", "gy").join(t.grid.select("cell_id", planar.cell("xmin", 500.0).alias("gx"), planar.cell("ymin", 500.0).alias("gy")), ["gx", "gy"]).select("id", "cell_id")
-)
 
 
 def _overlap_cells(t: Tables) -> DataFrame:
@@ -211,18 +147,7 @@ def _overlap_cells(t: Tables) -> DataFrame:
 
 
 q("J17", f"SELECT b.id, g.cell_id FROM {BOX} b JOIN {GRID} g ON b.xmax >= g.xmin AND b.xmin < g.xmax AND b.ymax >= g.ymin AND b.ymin < g.ymax")(lambda t: _overlap_cells(t).select("id", "cell_id"))
-q("J18", f"SELECT b.id, CAST(b.id AS VARCHAR) || '__' || CAST(g.cell_id AS VARCHAR) AS entity_key, g.xmin AS scene_xmin FROM {BOX} b JOIN {GRID} g ON b.xmax >= g.xmin AND b.xmin < g.xmax AND b.ymax >= g.ymin AND b.ymin < g.ymax")(
-    lambda t: _overlap_cells(t).select("id", F.concat_ws("__", c("id").cast("string"), c("cell_id").cast("string")).alias("entity_key"), (c("gx") * 500).cast("double").alias("scene_xmin"))
-)
 q("J21", f"SELECT a.id, round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), 6) AS distance FROM {PTS} a JOIN {PTS} b ON a.id <> b.id GROUP BY 1")(lambda t: planar.nearest_distance(t.pts, "id", 100.0).withColumn("distance", F.round("distance", 6)))
-q("J12", f"SELECT p.id, s.ref FROM {PTS} p JOIN (SELECT s_suppkey AS ref, CAST((s_suppkey*53)%10000 AS DOUBLE) AS rx, CAST((s_suppkey*29)%10000 AS DOUBLE) AS ry FROM supplier WHERE s_suppkey < 10) s ON true QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY (p.x-s.rx)*(p.x-s.rx)+(p.y-s.ry)*(p.y-s.ry), s.ref) = 1")(lambda t: _nearest(t))
-
-
-def _nearest(t: Tables) -> DataFrame:
-    """The references are ten at any size, so they are folded into one array and every point looks through it."""
-    s = t.supplier.where("s_suppkey < 10").agg(F.collect_list(F.struct(c("s_suppkey").alias("ref"), ((c("s_suppkey") * 53) % 10000).cast("double").alias("rx"), ((c("s_suppkey") * 29) % 10000).cast("double").alias("ry"))).alias("refs"))
-    d = F.transform("refs", lambda r: F.struct(((c("x") - r["rx"]) * (c("x") - r["rx"]) + (c("y") - r["ry"]) * (c("y") - r["ry"])).alias("d"), r["ref"].alias("ref")))
-    return t.pts.join(F.broadcast(s)).select("id", F.array_min(d)["ref"].alias("ref"))
 
 
 q("J23", "SELECT d.x AS density, e.x AS epochs FROM (VALUES (200),(400),(800)) d(x), (VALUES (1),(5)) e(x)")(lambda t: t.spark.range(1).select(F.explode(F.array(lit(200), lit(400), lit(800))).alias("density")).select("density", F.explode(F.array(lit(1), lit(5))).alias("epochs")))
@@ -282,7 +207,6 @@ q("A28", "WITH s AS (SELECT p_size, round(avg(p_retailprice), 6) AS score FROM p
 q("A29", "SELECT event_id FROM (SELECT event_id, value, avg(value) OVER (PARTITION BY event_type) AS m, stddev_samp(value) OVER (PARTITION BY event_type) AS s FROM events) WHERE abs(value - m) > 2 * s")(
     lambda t: t.events.join(F.broadcast(t.events.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))), "event_type").where(F.abs(c("value") - c("m")) > 2 * c("s")).select("event_id")
 )
-q("A30", "SELECT n, round(0.5 + 0.002 * n, 6) AS seconds FROM (VALUES (50000),(100000),(1000000)) v(n)")(lambda t: t.spark.createDataFrame([(50000,), (100000,), (1000000,)], "n int").select("n", r6(lit(0.5) + lit(0.002) * c("n"), "seconds")))
 # ---- windows, order, sets --------------------------------------------------------------------------------------------
 q("W01", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS internal_id FROM customer")(lambda t: ranked(t.customer.select("c_name", "c_custkey"), ["c_name", "c_custkey"]).select("c_custkey", c("rank0").alias("internal_id")))
 q("W02", "SELECT s_suppkey, CAST(CASE WHEN s_acctbal > 0 THEN row_number() OVER (PARTITION BY s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey) END AS DOUBLE) AS place FROM supplier")(
@@ -291,7 +215,7 @@ q("W02", "SELECT s_suppkey, CAST(CASE WHEN s_acctbal > 0 THEN row_number() OVER
 q("W03", "SELECT p_brand, p_type, rank() OVER (PARTITION BY p_brand ORDER BY count(*) DESC) AS place FROM part GROUP BY 1, 2")(lambda t: t.part.groupBy("p_brand", "p_type").agg(n_()).select("p_brand", "p_type", F.rank().over(Window.partitionBy("p_brand").orderBy(F.desc("n"))).cast("bigint").alias("place")))
 q("W04", "SELECT p_brand, p_type, round(count(*) / sum(count(*)) OVER (PARTITION BY p_brand), 6) AS share FROM part GROUP BY 1, 2")(lambda t: t.part.groupBy("p_brand", "p_type").agg(n_()).select("p_brand", "p_type", r6(c("n") / F.sum("n").over(Window.partitionBy("p_brand")), "share")))
 q("W05", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")(lambda t: relational.keep_first(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id"))
-q("W06", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS repeated FROM events")(lambda t: t.events.select("event_id", relational.duplicate_flag(["user_id", "event_type"], ["event_id"]).alias("repeated")))
+q("W06", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS repeated FROM events")(lambda t: relational.with_repeats(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"], "repeated").select("event_id", "repeated"))
 
 
 def _bins(t: Tables) -> DataFrame:
@@ -302,15 +226,11 @@ def _bins(t: Tables) -> DataFrame:
 q("W07", "SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1) * 7 / count(*) OVER ()) AS BIGINT) AS bin FROM supplier")(_bins)
 q("W08", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS step FROM events")(lambda t: t.events.select("event_id", r6(c("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "step")))
 q("W09", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")))
-q("W10", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS final_rank FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (ORDER BY event_id) <= 100")(lambda t: ranked(t.events.where("event_type = 'click'").select("event_id"), ["event_id"]).where("rank0 < 100").select("event_id", (c("rank0") + 1).alias("final_rank")))
 q("W11", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z FROM customer")(
     lambda t: t.customer.join(F.broadcast(t.customer.agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s")))).select("c_custkey", r6((c("c_acctbal") - c("m")) / c("s"), "z"))
 )
-q("L01", "SELECT p_partkey FROM part ORDER BY p_size > 25 DESC, p_type NULLS LAST, p_partkey LIMIT 60")(lambda t: t.part.orderBy(F.desc(c("p_size") > 25), F.asc_nulls_last("p_type"), "p_partkey").limit(60).select("p_partkey"))
-q("L02", "SELECT osm_id FROM korea_pois_point ORDER BY try_cast(osm_id AS DOUBLE) NULLS LAST, osm_id LIMIT 60")(lambda t: t.korea_pois_point.select("osm_id").orderBy(F.asc_nulls_last(F.expr("try_cast(osm_id AS double)")), F.asc_nulls_last("osm_id")).limit(60))
 q("L03", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")(lambda t: t.orders.orderBy("o_totalprice", "o_orderkey").limit(25).select("o_orderkey"))
 q("L04", f"SELECT id FROM {BOX} WHERE xmax - xmin >= 10 ORDER BY area / (xmax - xmin), id LIMIT 25")(lambda t: t.box.where("xmax - xmin >= 10").orderBy(c("area") / (c("xmax") - c("xmin")), "id").limit(25).select("id"))
-_HASH = "sha256('{0}|' || CAST({1} AS VARCHAR))"
 q("L05", "SELECT c_custkey, row_number() OVER (ORDER BY sha256('7|' || CAST(c_custkey AS VARCHAR))) AS place FROM customer")(lambda t: ranked(t.customer.select("c_custkey", F.sha2(F.concat(lit("7|"), c("c_custkey").cast("string")), 256).alias("h")), ["h", "c_custkey"]).select("c_custkey", (c("rank0") + 1).alias("place")))
 q("L06", "SELECT c_custkey FROM customer ORDER BY sha256('9|' || CAST(c_custkey AS VARCHAR)) LIMIT 100")(lambda t: t.customer.orderBy(F.sha2(F.concat(lit("9|"), c("c_custkey").cast("string")), 256)).limit(100).select("c_custkey"))
 
@@ -328,81 +248,24 @@ q("U01", "SELECT n_nationkey AS k, n_name AS name, NULL::DOUBLE AS extra FROM na
 q("U02", "SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")(lambda t: t.events.rollup("event_type").agg(n_()).select(F.coalesce("event_type", lit("total")).alias("event_type"), "n"))
 q("U03", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")(lambda t: relational.keep_first(t.events.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"]))
 q("U04", "SELECT DISTINCT region, grid_type FROM scene_grid")(lambda t: t.scene_grid.select("region", "grid_type").distinct())
-q("U05", "SELECT scene_id FROM scene_grid WHERE grid_type = 'nonoverlap' EXCEPT SELECT scene_id FROM scene_entities")(lambda t: t.scene_grid.where("grid_type = 'nonoverlap'").select("scene_id").subtract(t.scene_entities.select("scene_id")))
 # ---- order-dependent -------------------------------------------------------------------------------------------------
-q("D03", "SELECT row_id, epoch_us(ingested_at) AS at, row_number() OVER (PARTITION BY coalesce(major_category,'NA') || '|' || coalesce(semantic_type_key,'NA') || '|' || coalesce(geom_hash,'NA') ORDER BY row_id, ingested_at) > 1 AS exact_duplicate FROM togieeum_polygon_pois")(
-    lambda t: t.togieeum_polygon_pois.select("row_id", at_(), relational.duplicate_flag([text.pasted("|", "major_category", "semantic_type_key", "geom_hash")], ["row_id", "ingested_at"]).alias("exact_duplicate"))
-)
-_NEAR = ["major_category", "semantic_type_key", "xmin", "ymin", "xmax", "ymax"]
 
 
-def _near(t: Tables) -> DataFrame:
-    d = t.togieeum_polygon_pois.select("row_id", "ingested_at", "major_category", "semantic_type_key", "geom_hash", *[F.round(x, 0).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
-    one = relational.keep_first(d, [text.pasted("|", "major_category", "semantic_type_key", "geom_hash")], ["row_id", "ingested_at"])
-    return one.withColumn("near", relational.duplicate_flag([F.coalesce(c(x).cast("string"), lit("NA")) for x in _NEAR], ["row_id", "ingested_at"])).where("near").select("row_id")
-
-
-q("D04", "WITH one AS (SELECT * FROM togieeum_polygon_pois QUALIFY row_number() OVER (PARTITION BY coalesce(major_category,'NA') || '|' || coalesce(semantic_type_key,'NA') || '|' || coalesce(geom_hash,'NA') ORDER BY row_id, ingested_at) = 1) SELECT row_id FROM one QUALIFY row_number() OVER (PARTITION BY major_category, semantic_type_key, round(xmin, 0), round(ymin, 0), round(xmax, 0), round(ymax, 0) ORDER BY row_id, ingested_at) > 1")(_near)
-q("D05", "WITH v AS (SELECT *, event_type <> 'error' AND value >= 3 AS ok FROM events), f AS (SELECT user_id, min(event_id) AS e FROM v WHERE ok GROUP BY 1), r AS (SELECT user_id, e, row_number() OVER (ORDER BY e) AS accepted_rank FROM f) SELECT v.event_id, CAST(CASE WHEN accepted_rank <= 60 THEN accepted_rank END AS DOUBLE) AS accepted_rank FROM v LEFT JOIN r ON v.user_id = r.user_id AND v.event_id = r.e AND v.ok")(
-    lambda t: relational.accept_first(t.events, "user_id", c("event_id"), (c("event_type") != "error") & (c("value") >= 3), 60).select("event_id", c("accepted_rank").cast("double").alias("accepted_rank"))
-)
-q("D06", f"SELECT DISTINCT a.id FROM {BOX} a JOIN {BOX} b ON a.kind = b.kind AND a.id <> b.id AND a.xmin >= b.xmin AND a.ymin >= b.ymin AND a.xmax <= b.xmax AND a.ymax <= b.ymax AND b.area >= a.area")(lambda t: planar.contained_boxes(t.box, "id", ["kind"], 100.0, strict=False))
 q("D08", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")(lambda t: relational.latest(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value"))
-q("D01")(lambda t: planar.thin(t.pts.withColumn("p", F.xxhash64("id")), "id", "p", 150.0).select("id"))
 q("D11", "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 LIMIT 30")(lambda t: t.events.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("event_id")).orderBy("event_id").limit(30))
 q("D13", "SELECT poi_id, epoch_us(ingested_at) AS at, CASE WHEN addr_street IS NOT NULL THEN 'addr_street' WHEN phone IS NOT NULL THEN 'phone' WHEN name IS NOT NULL THEN 'name' END AS key, coalesce(addr_street, phone, name) AS value FROM korea_pois_point")(
     lambda t: t.korea_pois_point.select("poi_id", "ingested_at", text.first_tag(["addr_street", "phone", "name"]).alias("t")).select("poi_id", at_(), c("t.key").alias("key"), c("t.value").alias("value"))
 )
 # ---- geometry --------------------------------------------------------------------------------------------------------
-def _ring() -> Column:
-    return planar.rectangle(c("xmin"), c("ymin"), c("xmax"), c("ymax"))
 
 
-q("G01", f"SELECT id, area FROM {BOX}")(lambda t: t.box.select("id", planar.ring_area(_ring()).alias("area")))
-q("G02", f"SELECT id, 2*((xmax-xmin)+(ymax-ymin)) AS perimeter FROM {BOX}")(lambda t: t.box.select("id", planar.ring_length(_ring()).alias("perimeter")))
 q("G03", f"SELECT id, x1 - x0 AS length FROM {LINE}")(lambda t: t.line.select("id", planar.line_length(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("length")))
 q("G04", f"SELECT kind, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM {BOX} GROUP BY 1")(lambda t: t.box.groupBy("kind").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")))
-q("G05", f"SELECT id, round((xmin+xmax)/2, 6) AS cx, round((ymin+ymax)/2, 6) AS cy FROM {BOX} WHERE area > 0")(lambda t: t.box.where("area > 0").withColumn("g", planar.ring_centroid(_ring())).select("id", r6(c("g.x"), "cx"), r6(c("g.y"), "cy")))
-q("G07", "SELECT geo2vec_internal_id, epoch_us(ingested_at) AS at, CAST(length(geometry_wkt) - length(replace(geometry_wkt, ',', '')) AS INTEGER) AS vertices FROM scene_entities WHERE geometry_wkt IS NOT NULL")(
-    lambda t: t.scene_entities.where("geometry_wkt IS NOT NULL").select("geo2vec_internal_id", at_(), (F.size(F.split("geometry_wkt", ",")) - 1).alias("vertices"))
-)
 q("G09", f"SELECT id, round(4*pi()*area/pow(2*((xmax-xmin)+(ymax-ymin)), 2), 6) AS compactness, round(greatest(xmax-xmin,ymax-ymin)/least(xmax-xmin,ymax-ymin), 6) AS aspect, round(ln(1+area), 6) AS log_area FROM {BOX} WHERE area > 0")(
     lambda t: t.box.where("area > 0").withColumns(planar.shape_metrics(c("area"), 2 * ((c("xmax") - c("xmin")) + (c("ymax") - c("ymin"))), c("xmax") - c("xmin"), c("ymax") - c("ymin"))).select("id", r6(c("compactness"), "compactness"), r6(c("aspect"), "aspect"), r6(c("log_area"), "log_area"))
 )
 
 
-def _round_trip(t: Tables) -> DataFrame:
-    p = t.pts.withColumns({"e": c("x") + 190000, "n": c("y") + 450000})
-    lon, lat = geo.to_4326(c("e"), c("n"))
-    p = p.withColumns({"lon": lon, "lat": lat})
-    x, y = geo.to_5186(c("lon"), c("lat"))
-    return p.select("id", (F.hypot(x - c("e"), y - c("n")) < 1e-3).alias("same"))
-
-
-q("G13", f"SELECT id, true AS same FROM {PTS}")(_round_trip)
-q("G14", f"SELECT id, xmin <= 4500 AND xmax >= 4000 AND ymin <= 4500 AND ymax >= 4000 AS intersects, xmin >= 4000 AND xmax <= 4500 AND ymin >= 4000 AND ymax <= 4500 AS within FROM {BOX}")(
-    lambda t: t.box.select("id", F.expr("xmin <= 4500 AND xmax >= 4000 AND ymin <= 4500 AND ymax >= 4000").alias("intersects"), F.expr("xmin >= 4000 AND xmax <= 4500 AND ymin >= 4000 AND ymax <= 4500").alias("within"))
-)
-q("G15", f"SELECT id, greatest(xmin, 3000) AS xmin, greatest(ymin, 3000) AS ymin, least(xmax, 6000) AS xmax, least(ymax, 6000) AS ymax FROM {BOX} WHERE greatest(xmin, 3000) < least(xmax, 6000) AND greatest(ymin, 3000) < least(ymax, 6000)")(
-    lambda t: t.box.withColumns(planar.clip_box("xmin", "ymin", "xmax", "ymax", (3000.0, 3000.0, 6000.0, 6000.0))).where("xmin IS NOT NULL").select("id", "xmin", "ymin", "xmax", "ymax")
-)
-q("G18", f"SELECT id, xmin - 10 AS xmin, xmax + 10 AS xmax FROM {BOX}")(lambda t: t.box.select("id", (c("xmin") - 10).alias("xmin"), (c("xmax") + 10).alias("xmax")))
 q("G20", f"SELECT id, round(2*6371008.8*atan2(sqrt(h), sqrt(1-h)), 4) AS metres FROM (SELECT id, pow(sin(radians(y/1000)/2), 2) + cos(radians(y/1000))*pow(sin(radians(x/1000)/2), 2) AS h FROM {PTS})")(
     lambda t: t.pts.select("id", F.round(geo.haversine_m(lit(0.0), lit(0.0), c("x") / 1000, c("y") / 1000), 4).alias("metres"))
 )
-q("G21", f"SELECT id, CASE WHEN 5000 >= xmin AND 5000 < xmax AND 5000 >= ymin AND 5000 < ymax THEN -least(5000-xmin, xmax-5000, 5000-ymin, ymax-5000) ELSE sqrt(pow(greatest(xmin-5000, 0, 5000-xmax), 2) + pow(greatest(ymin-5000, 0, 5000-ymax), 2)) END AS sdf FROM (SELECT id, xmin, ymin, xmin + 400 AS xmax, ymin + 300 AS ymax FROM {BOX})")(
-    lambda t: t.box.select("id", planar.signed_distance(planar.rectangle(c("xmin"), c("ymin"), c("xmin") + 400, c("ymin") + 300), lit(5000.0), lit(5000.0)).alias("sdf"))
-)
-SQL["G21"] = SQL["G21"].replace("SELECT id, CASE", "SELECT id, round(CASE", 1).replace("END AS sdf", "END, 6) AS sdf", 1)
-QUERIES["G21"] = (lambda f: lambda s, d: f(s, d).withColumn("sdf", F.round("sdf", 6)))(QUERIES["G21"])
-q("G23", f"SELECT id, sha256(CAST(CAST(xmin AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(ymin AS BIGINT) AS VARCHAR)) AS hash FROM {BOX}")(lambda t: t.box.select("id", F.sha2(F.format_string("%d %d", c("xmin").cast("bigint"), c("ymin").cast("bigint")), 256).alias("hash")))
-q("G24", f"SELECT id, (i + 0.5::DOUBLE) * 10 AS distance, round(x0 + (i + 0.5::DOUBLE) * 10, 6) AS x FROM {LINE}, range(10) r(i) WHERE (i + 0.5) * 10 <= x1 - x0 AND x1 - x0 >= 5")(lambda t: planar.line_points(t.line, "x0", "y0", "x1", "y1", 10.0).select("id", "distance", r6(c("x"), "x")))
-q("G25", f"SELECT id, round(greatest(0, least(xmax, 6000) - greatest(xmin, 3000)) * greatest(0, least(ymax, 6000) - greatest(ymin, 3000)) / area, 6) AS share FROM {BOX} WHERE area > 0")(
-    lambda t: t.box.where("area > 0").select("id", r6(text.clamp(F.greatest(lit(0.0), F.least(c("xmax"), lit(6000.0)) - F.greatest(c("xmin"), lit(3000.0))) * F.greatest(lit(0.0), F.least(c("ymax"), lit(6000.0)) - F.greatest(c("ymin"), lit(3000.0))) / c("area"), 0.0, 1.0), "share"))
-)
-q("G27", f"SELECT id, round((x - (SELECT min(x) FROM {PTS})) / greatest((SELECT max(x) - min(x) FROM {PTS}), 1e-9), 6) AS u FROM {PTS}")(
-    lambda t: t.pts.join(F.broadcast(t.pts.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))).select("id", r6((c("x") - c("lo")) / F.greatest(c("hi") - c("lo"), lit(1e-9)), "u"))
-)
-q("G28", "SELECT v, CAST(round(lo * 4096) AS INTEGER) AS px0, CAST(round(hi * 4096) AS INTEGER) AS px1 FROM (VALUES ('left', 0.05, 0.35), ('front', 0.25, 0.55), ('right', 0.45, 0.75), ('rear', 0.65, 0.95)) w(v, lo, hi)")(
-    lambda t: t.spark.createDataFrame([("left", 0.05, 0.35), ("front", 0.25, 0.55), ("right", 0.45, 0.75), ("rear", 0.65, 0.95)], "v string, lo double, hi double").select("v", F.round(c("lo") * 4096).cast("int").alias("px0"), F.round(c("hi") * 4096).cast("int").alias("px1"))
-)

@@ -65,8 +65,8 @@ q("F12", f"SELECT id, floor(x / 500) * 500 AS low, ceil(x / 500) * 500 AS high,
 q("F13", "SELECT o_orderkey, round_even(o_orderkey / 8, 1) AS even, CASE WHEN o_orderkey = 0 THEN 0 ELSE round(round_even(o_orderkey / pow(10, floor(log10(o_orderkey)) - 2), 0) * pow(10, floor(log10(o_orderkey)) - 2), 6) END AS signif FROM orders")(
     lambda t: t.orders.select("o_orderkey", F.bround(c("o_orderkey") / 8, 1).alias("even"), r6(text.signif("o_orderkey", 3), "signif"))
 )
-q("F14", "SELECT split, count(*) FILTER (isfinite(sdf)) AS finite, count(*) AS n FROM sdf_samples GROUP BY 1")(
-    lambda t: t.sdf_samples.groupBy("split").agg(F.count_if(text.finite("sdf")).alias("finite"), F.count(lit(1)).alias("n"))
+q("F14", "SELECT CAST(split AS DOUBLE) AS split, count(*) FILTER (isfinite(sdf)) AS finite, count(*) AS n FROM sdf_samples GROUP BY 1")(
+    lambda t: t.sdf_samples.groupBy(c("split").cast("double").alias("split")).agg(F.count_if(text.finite("sdf")).alias("finite"), F.count(lit(1)).alias("n"))
 )
 _U64 = "CAST('0x' || concat(" + ", ".join(f"substr(sha256({{0}}), {15 - 2 * i}, 2)" for i in range(8)) + ") AS UBIGINT)"
 _UNIT = f"{_U64} / 18446744073709551616.0::DOUBLE"

@@ -1 +1 @@
-"""Structured Streaming counterparts of the batch operators."""
+"""Structured Streaming forms of the batch operators."""
