@@ -248,9 +248,9 @@ def evidence(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     gap = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("gap")
     w, no = RULES, F.lit(0.0)
     differ = lambda c, part: F.when(F.col(f"a.{c}") != F.col(f"b.{c}"), w[c] * part).otherwise(no)
-    # what is left for the name: at 0 or less only equal names do
+    # the slope of the hinges next to 0 if all that isn't known to fail holds: at 0 or less only equal names do
     room = w["kind"] - w["prior"] + F.when(F.col("a.branched") & F.col("b.branched"), w["branch"]).otherwise(no) - differ("tel", 0.5) - differ("addr", 0.6)
-    room = room + F.coalesce(F.greatest(no, 1 - gap / NEAR_M) * w["near"] - F.when(gap > NEAR_M, w["far"]).otherwise(no), no) + w["name"]
+    room = room + F.when(gap < NEAR_M, w["near"]).when(gap > NEAR_M, -w["far"]).otherwise(no) + w["name"]
     same = lambda c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
     hopeful = (room > 1e-6) | ((room > -1e-6) & F.arrays_overlap("a.solid", "b.solid")) | F.coalesce(gap < SURE_M, F.lit(False)) | same("tel") | same("addr") | (F.size("a.forms") == 0) | (F.size("b.forms") == 0)
     joined = joined.where(hopeful)

@@ -62,7 +62,7 @@ def draw(sizes: DataFrame, targets: DataFrame, key: str, source: str, total: flo
         return f"floor((rank0 + 1) * {rate} + offset) - floor(rank0 * {rate} + offset)"
 
     half = (RATES - 1) // 2
-    factors = [1 + REACH * (i - half) / half for i in range(RATES)]
+    factors = [1 + REACH * ((i - half) / half) ** 3 for i in range(RATES)]  # dense around 1
     drawn = placed.groupBy(source).agg(*[F.expr(f"sum(({copies(f'least(rate * {f!r}D, cap)')}) * n_tokens)").alias(f"t{i}") for i, f in enumerate(factors)]).collect()
     goal = {r[0]: r[3] * r[4] for r in rates}
     chosen = [(r[source], factors[min(range(RATES), key=lambda i: (abs(r[f"t{i}"] - goal[r[source]]), abs(i - half), i))]) for r in drawn]
