@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,28 +145,48 @@ def contained_boxes(df: DataFrame, key: str, group: list[str], size: float, stri
     return inner.join(outer, on & within & larger).select(key).distinct()
 
 
-def nearest_distance(points: DataFrame, key: str, size: float, rounds: int = 24) -> DataFrame:
+#: Open points of a round that are broadcast, with their 9 cells each; then no other row moves.
+OPEN_SENT = 20_000
+
+
+#: Places of a cell that are compared with each other at most, as far as MOST_HALVINGS of its size go.
+CELL_PLACES, MOST_HALVINGS = 256, 16
+
+
+def nearest_distance(points: DataFrame, key: str, size: float, rounds: int = 28) -> DataFrame:
     """(key, distance) to the nearest other point, by rings of cells.
 
-    Each round doubles the cell size and looks at the 3 x 3 cells around a
-    point; a distance up to the cell size is final. Only points without one go
-    on, so few take part in the wide rounds. A lone point has null.
+    Points at one place have distance 0; all others are compared as places.
+    The cells begin with ``size``, halved until the fullest has about
+    CELL_PLACES places. Each round doubles them and looks at the 3 x 3 cells
+    around a place; a distance up to the cell size is final. Only places
+    without one go on, so few take part in the wide rounds; these few are
+    broadcast, so that a wide cell is no task of its own. A lone point and one
+    without coordinates have null.
     """
-    base = points.select(F.col(key).alias("k"), "x", "y")
-    todo, done = base, None
+    places = durable(points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")))
+    full = places.groupBy(cell("x", size), cell("y", size)).count().agg(F.max("count")).first()[0] or 0
+    size = size / 2 ** min(MOST_HALVINGS, max(0, math.ceil(math.log2(max(1, full) / CELL_PLACES) / 2)))
+    base, todo = places.select("k", "x", "y"), places.where("n = 1").select("k", "x", "y")
+    done = places.where("n > 1").select("k", F.lit(0.0).alias("d"))
     for i in range(rounds):
+        n = todo.count()
+        if not n:
+            break
         s = size * 2**i
         near = base.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x", s).alias("cx"), cell("y", s).alias("cy"))
-        around = todo.withColumn("cx", F.explode(F.sequence(cell("x", s) - 1, cell("x", s) + 1))).withColumn("cy", F.explode(F.sequence(cell("y", s) - 1, cell("y", s) + 1)))
-        d = around.join(near, ["cx", "cy"]).where("k != k2").groupBy("k").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("d"))
+        around = _around(todo, s)
+        d = near.join(F.broadcast(around) if n <= OPEN_SENT else around, ["cx", "cy"]).where("k != k2").groupBy("k").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("d"))
         hit = durable(todo.join(d.where(F.col("d") <= s), "k", "left"))
-        found = hit.where("d IS NOT NULL").select("k", "d")
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(hit.where("d IS NOT NULL").select("k", "d"))
         todo = hit.where("d IS NULL").select("k", "x", "y")
-        left = todo.limit(2).count()
-        if not left:
-            break
-    return done.unionByName(todo.select("k", F.lit(None).cast("double").alias("d"))).toDF(key, "distance")
+    by_place = places.select("x", "y", "k").join(done, "k").select("x", "y", "d")
+    return points.select(key, "x", "y").join(by_place, ["x", "y"], "left").select(key, F.col("d").alias("distance"))
+
+
+def _around(points: DataFrame, s: float) -> DataFrame:
+    """Each point under the 3 x 3 cells of size s around it."""
+    return points.withColumn("cx", F.explode(F.sequence(cell("x", s) - 1, cell("x", s) + 1))).withColumn("cy", F.explode(F.sequence(cell("y", s) - 1, cell("y", s) + 1)))
 
 
 def nearest_box(points: DataFrame, key: str, boxes: DataFrame, ref: str, size: float, rounds: int = 24) -> DataFrame:
@@ -181,18 +203,50 @@ def nearest_box(points: DataFrame, key: str, boxes: DataFrame, ref: str, size: f
     dx = F.greatest(F.lit(0.0), F.col("_xmin") - F.col("x"), F.col("x") - F.col("_xmax"))
     dy = F.greatest(F.lit(0.0), F.col("_ymin") - F.col("y"), F.col("y") - F.col("_ymax"))
     for i in range(rounds):
+        n = todo.count()
+        if not n:
+            break
         s = size * 2**i
-        around = todo.withColumn("cx", F.explode(F.sequence(cell("x", s) - 1, cell("x", s) + 1))).withColumn("cy", F.explode(F.sequence(cell("y", s) - 1, cell("y", s) + 1)))
+        around = _around(todo, s)
         covers = base.withColumn("cx", F.explode(F.sequence(cell("_xmin", s), cell("_xmax", s)))).withColumn("cy", F.explode(F.sequence(cell("_ymin", s), cell("_ymax", s))))
-        best = around.join(covers, ["cx", "cy"]).withColumn("d", F.hypot(dx, dy)).groupBy("k").agg(F.min(F.struct("d", "ref")).alias("b"))
+        best = covers.join(F.broadcast(around) if n <= OPEN_SENT else around, ["cx", "cy"]).withColumn("d", F.hypot(dx, dy)).groupBy("k").agg(F.min(F.struct("d", "ref")).alias("b"))
         hit = durable(todo.join(best.where(F.col("b.d") <= s), "k", "left"))
         found = hit.where("b IS NOT NULL").select("k", "b.ref", "b.d")
         done = found if done is None else done.unionByName(found)
         todo = hit.where("b IS NULL").select("k", "x", "y")
-        if not todo.limit(1).count():
-            break
     kind = dict(boxes.dtypes)[ref]
-    return done.unionByName(todo.select("k", F.lit(None).cast(kind).alias("ref"), F.lit(None).cast("double").alias("d"))).toDF(key, ref, "distance")
+    rest = todo.select("k", F.lit(None).cast(kind).alias("ref"), F.lit(None).cast("double").alias("d"))
+    return (rest if done is None else done.unionByName(rest)).toDF(key, ref, "distance")
+
+
+def dissolved_area(boxes: DataFrame, group: str, size: float) -> DataFrame:
+    """(group, area) of the union of each group's rectangles.
+
+    Rectangles are cut along the cells of a lattice; within a cell the union
+    is measured exactly by its coordinates, and the cells' areas add up. So a
+    group with most rows is spread over its cells. Rows with a null side are
+    left out; a null group is a group.
+    """
+    span = lambda a, b: F.explode(F.sequence(cell(a, size), cell(b, size)))
+    ok = boxes.where((F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))).select(F.col(group).alias("g"), "xmin", "ymin", "xmax", "ymax")
+    d = ok.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
+    side = lambda low, high, c: (F.greatest(low, F.col(c) * size), F.least(high, (F.col(c) + 1) * size))
+    (x0, x1), (y0, y1) = side("xmin", "xmax", "cx"), side("ymin", "ymax", "cy")
+    cut = d.select("g", "cx", "cy", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 < x1 AND y0 < y1").distinct()
+
+    def union(p: pd.DataFrame) -> pd.DataFrame:
+        xs = np.unique(p[["x0", "x1"]].to_numpy())
+        area = 0.0
+        for left, right in zip(xs, xs[1:]):
+            on = p[(p["x0"] <= left) & (p["x1"] >= right)].sort_values("y0")
+            if len(on):
+                top = np.maximum.accumulate(on["y1"].to_numpy())
+                low = np.maximum(on["y0"].to_numpy()[1:], top[:-1])
+                area += (right - left) * (on["y1"].iloc[0] - on["y0"].iloc[0] + np.maximum(on["y1"].to_numpy()[1:] - low, 0).sum())
+        return pd.DataFrame({"g": p["g"].iloc[:1], "area": [area]})
+
+    per = cut.groupBy("g", "cx", "cy").applyInPandas(union, f"g {dict(boxes.dtypes)[group]}, area double")
+    return per.groupBy("g").agg(F.sum("area").alias("area")).toDF(group, "area")
 
 
 def thin(points: DataFrame, key: str, priority: str, spacing: float) -> DataFrame:

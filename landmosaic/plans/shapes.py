@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landmosaic.operators import shapes
+from landmosaic.operators import planar, shapes
 from landmosaic.plans.reference import BOX, PTS, Tables, c, lit, q, r6
 
 #: Box with a centred hole of half its size; every fifth has a second part of 10 x 10, 12 above.
@@ -124,3 +124,13 @@ def _shared(t: Tables) -> DataFrame:
     share = F.least(lit(1.0), F.greatest(lit(0.0), F.coalesce("cut", lit(0.0)) / c("area")))
     inside = c("px").between(_IN[0], _IN[2]) & c("py").between(_IN[1], _IN[3])
     return whole.join(part, "id", "left").withColumn("share", share).select("id", r6(c("share"), "share"), (inside | (c("share") >= 0.5)).alias("kept"), ((c("share") > 0) & (c("share") < 1)).alias("crossing"))
+
+
+q("G17", f"SELECT kind, CAST(count(DISTINCT (x + i, y + j)) AS DOUBLE) AS area FROM (SELECT kind, CAST(xmin AS BIGINT) % 400 AS x, CAST(ymin AS BIGINT) % 400 AS y, CAST(xmax - xmin AS BIGINT) AS w, CAST(ymax - ymin AS BIGINT) AS h FROM {BOX}), range(60) a(i), range(60) b(j) WHERE i < w AND j < h GROUP BY 1")(lambda t: _dissolved(t))
+
+
+def _dissolved(t: Tables) -> DataFrame:
+    """Boxes of a kind, moved together so that many overlap, as one area."""
+    x, y = c("xmin") % 400, c("ymin") % 400
+    b = t.box.select("kind", x.alias("xmin"), y.alias("ymin"), (x + c("xmax") - c("xmin")).alias("xmax"), (y + c("ymax") - c("ymin")).alias("ymax"))
+    return planar.dissolved_area(b, "kind", 100.0)

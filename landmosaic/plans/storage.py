@@ -212,6 +212,20 @@ def _answers(t: Tables) -> DataFrame:
 q("S14", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 7 THEN 404 WHEN c_custkey % 10 = 9 THEN 503 ELSE 200 END AS code, CASE c_custkey % 10 WHEN 3 THEN 2 WHEN 9 THEN 3 ELSE 1 END AS attempts, CASE WHEN c_custkey % 10 NOT IN (7, 9) THEN 'OK' END AS status FROM customer")(_answers)
 
 
+def _fallbacks(t: Tables) -> DataFrame:
+    """A chain of addresses: another panorama, another zoom, another end point; the first that answers counts."""
+
+    def get(r: str) -> tuple[int, str]:
+        i, step = (int(x) for x in r.rsplit("=", 1)[1].split("-"))
+        return (200, "x") if i % 4 == step else (404, "")
+
+    d = t.customer.select("c_custkey", F.array(*[F.concat(lit("https://example.org/?id="), c("c_custkey"), lit(f"-{i}")) for i in range(3)]).alias("r"))
+    return files.fetched(d, "c_custkey", "r", get).select("c_custkey", "place", "code", "attempts")
+
+
+q("D12", "SELECT c_custkey, CAST(least(c_custkey % 4 + 1, 3) AS INTEGER) AS place, CASE WHEN c_custkey % 4 < 3 THEN 200 ELSE 404 END AS code, CAST(least(c_custkey % 4 + 1, 3) AS INTEGER) AS attempts FROM customer")(_fallbacks)
+
+
 # ---- sinks: written, read back ---------------------------------------------------------------------------------------
 def _written(t: Tables) -> DataFrame:
     path = _folder(t, "table")

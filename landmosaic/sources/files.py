@@ -263,28 +263,40 @@ def schema_of(df: DataFrame) -> DataFrame:
     return names.join(F.broadcast(n))
 
 
-def fetched(df: DataFrame, key: str, request: str, get: Callable[[str], tuple[int, str]], tries: int = 3, wait: Callable[[int], None] | None = None) -> DataFrame:
-    """(key, code, body, error, attempts): each address through ``get``, again after an error or a code of 429 or 500 and above.
+def attempted(get: Callable[[str], tuple[int, str]], request: str, tries: int, wait: Callable[[int], None] | None) -> tuple[int | None, str | None, str | None, int]:
+    """(code, body, error, attempts) of one address; again after an error or a code of 429 or 500 and above."""
+    code, body, error, n = None, None, None, 0
+    for n in range(1, tries + 1):
+        try:
+            code, body, error = *get(request), None
+        except Exception as e:  # noqa: BLE001 - whatever the client raises is a failed attempt
+            code, body, error = None, None, str(e)
+        if code is not None and code < 500 and code != 429:
+            break
+        if wait and n < tries:
+            wait(n)
+    return code, body, error, n
+
+
+def fetched(df: DataFrame, key: str, requests: str, get: Callable[[str], tuple[int, str]], tries: int = 3, wait: Callable[[int], None] | None = None) -> DataFrame:
+    """(key, place, code, body, error, attempts): the first address of an array, or the one address, that answers with 200; else what the last one gave.
 
     ``get`` is given by the caller, who decides on the client; ``wait`` is
-    called with the number of the attempt before another one, for back-off.
+    called with the number of the attempt before another one, for back-off. A
+    row without addresses has place 0 and nulls.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, r in zip(b[key], b[request]):
-                code, body, error, n = None, None, None, 0
-                for n in range(1, tries + 1):
-                    try:
-                        code, body, error = *get(r), None
-                    except Exception as e:  # noqa: BLE001 - whatever the client raises is a failed attempt
-                        code, body, error = None, None, str(e)
-                    if code is not None and code < 500 and code != 429:
+            for k, r in zip(b[key], b[requests]):
+                got, place, total = (None, None, None, 0), 0, 0
+                for place, one in enumerate([] if r is None else [r] if isinstance(r, str) else r, 1):
+                    got = attempted(get, one, tries, wait)
+                    total += got[3]
+                    if got[0] == 200:
                         break
-                    if wait and n < tries:
-                        wait(n)
-                out.append((k, code, body, error, n))
-            yield pd.DataFrame(out, columns=[key, "code", "body", "error", "attempts"]).astype({"code": "Int32", "attempts": "int32"})
+                out.append((k, place, *got[:3], total))
+            yield pd.DataFrame(out, columns=[key, "place", "code", "body", "error", "attempts"]).astype({"code": "Int32", "place": "int32", "attempts": "int32"})
 
-    return df.select(key, request).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, code int, body string, error string, attempts int")
+    return df.select(key, requests).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, place int, code int, body string, error string, attempts int")

@@ -238,3 +238,21 @@ def test_thinning_keeps_points_at_the_very_distance(spark):
     pts = spark.createDataFrame([(1, 1.0, 0.0, 0.0), (2, 2.0, 10.0, 0.0), (3, 3.0, 19.9, 0.0)], "k int, p double, x double, y double")
     assert {r["k"] for r in planar.thin(pts, "k", "p", 10.0).collect()} == {1, 2}
     assert planar.thin(pts.limit(0), "k", "p", 10.0).count() == 0
+
+
+def test_nearest_distance_in_a_crowd_and_at_one_place(spark, monkeypatch):
+    monkeypatch.setattr(planar, "CELL_PLACES", 4)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.random((80, 2)), [[5, 5], [5, 5], [900, 900]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(500, None, 1.0)], "k int, x double, y double")
+    d = np.hypot(*(x[:, None] - x).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    got = {r["k"]: r["distance"] for r in planar.nearest_distance(df, "k", 10.0).collect()}
+    assert got.pop(500) is None and np.allclose([got[i] for i in range(len(x))], d.min(axis=1))
+    assert planar.nearest_distance(df.limit(0), "k", 10.0).count() == 0 and planar.nearest_distance(df.where("k = 1"), "k", 10.0).first()["distance"] is None
+
+
+def test_dissolved_boxes(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 10.0), ("a", 5.0, 5.0, 15.0, 15.0), ("a", 5.0, 5.0, 15.0, 15.0), (None, 0.0, 0.0, 1.0, 1.0), ("b", None, 0.0, 1.0, 1.0), ("c", 1.0, 1.0, 1.0, 5.0)], "g string, xmin double, ymin double, xmax double, ymax double")
+    assert {r["g"]: r["area"] for r in planar.dissolved_area(df, "g", 4.0).collect()} == {"a": 175.0, None: 1.0}
+    assert planar.dissolved_area(df.limit(0), "g", 4.0).count() == 0
