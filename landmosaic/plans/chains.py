@@ -22,9 +22,12 @@ def _events(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", "event_type", "value", F.when(c("event_id") % 13 != 0, c("user_id")).alias("pano"), (2015 + c("user_id") % 8).alias("year"), F.when(c("event_id") % 17 != 0, c("value")).alias("metres"))
 
 
-_RULES = [("is_error", c("event_type") == "error"), ("no_pano", c("pano").isNull()), ("no_distance", c("metres").isNull()), ("too_far", c("metres") > 50), ("too_near", c("metres") < 1), ("too_old", c("year") < 2017), ("signup", c("event_type") == "signup")]
+def _rules() -> list:
+    return [("is_error", c("event_type") == "error"), ("no_pano", c("pano").isNull()), ("no_distance", c("metres").isNull()), ("too_far", c("metres") > 50), ("too_near", c("metres") < 1), ("too_old", c("year") < 2017), ("signup", c("event_type") == "signup")]
+
+
 _REASON = "CASE WHEN event_type = 'error' THEN 'is_error' WHEN pano IS NULL THEN 'no_pano' WHEN metres IS NULL THEN 'no_distance' WHEN metres > 50 THEN 'too_far' WHEN metres < 1 THEN 'too_near' WHEN year < 2017 THEN 'too_old' WHEN event_type = 'signup' THEN 'signup' END"
-q("P10", f"SELECT event_id, {_REASON} AS reason FROM {_EV}")(lambda t: _events(t).select("event_id", text.first_reason(*_RULES).alias("reason")))
+q("P10", f"SELECT event_id, {_REASON} AS reason FROM {_EV}")(lambda t: _events(t).select("event_id", text.first_reason(*_rules()).alias("reason")))
 q("P11", "SELECT geo2vec_internal_id, epoch_us(ingested_at) AS at, CASE WHEN building_id IS NULL THEN 'missing_id' WHEN count(*) OVER (PARTITION BY building_id) > 1 THEN 'repeated_id' WHEN geometry_wkt IS NULL OR trim(geometry_wkt) = '' THEN 'empty' WHEN area <= 0 THEN 'invalid' WHEN NOT starts_with(upper(trim(geometry_wkt)), 'POLYGON') THEN 'not_polygon' END AS reason FROM scene_entities")(lambda t: _excluded(t))
 
 
@@ -169,7 +172,7 @@ q("D05", f"WITH {_ACC} SELECT event_id, CAST(CASE WHEN rank = e AND ok AND n <=
 
 def _accepted(t: Tables, target: int = 60) -> DataFrame:
     """Acceptance in order of the rank (the event's own if it is 0), the first valid row of each panorama, up to the target, with the reason of every other row."""
-    v = _events(t).withColumn("stateless", text.first_reason(*_RULES))
+    v = _events(t).withColumn("stateless", text.first_reason(*_rules()))
     rank = F.coalesce(F.nullif(c("event_id") % 9000, lit(0)), c("event_id")) * 100000 + c("event_id")
     out = relational.accept_first(v, "pano", rank, c("stateless").isNull(), target)
     used = out.where("accepted").select(c("pano").alias("_used"))  # at most target rows
