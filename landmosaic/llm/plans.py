@@ -192,7 +192,27 @@ WITH u AS (
 ), c AS (SELECT a.id AS id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 7) AS s FROM u a JOIN u b ON a.id <> b.id),
 r AS (SELECT id, other, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM c)
 """
+_OUTLINES = r"""
+WITH split AS (SELECT geo2vec_internal_id AS id, max(split) AS split FROM sdf_samples WHERE split IS NOT NULL GROUP BY 1),
+e AS (SELECT DISTINCT entity_key AS k, building_id AS b, geometry_wkt AS w, split = 0 AS train FROM scene_entities JOIN split ON id = geo2vec_internal_id WHERE entity_key IS NOT NULL),
+flat AS (SELECT k, train, unnest(regexp_extract_all(w, '[-+0-9.eE]+\s+[-+0-9.eE]+')) AS p, unnest(range(len(regexp_extract_all(w, '[-+0-9.eE]+\s+[-+0-9.eE]+')))) AS i FROM e WHERE contains(upper(w), 'POLYGON')),
+v AS (SELECT k, train, i, round(CAST(regexp_extract(p, '^\S+') AS DOUBLE), 3) AS x, round(CAST(regexp_extract(p, '\S+$') AS DOUBLE), 3) AS y FROM flat),
+s AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY k ORDER BY i)),
+box AS (SELECT k, train, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v GROUP BY 1, 2),
+near AS (SELECT a.k AS t, b.k AS e FROM box a JOIN box b ON a.train AND NOT b.train AND abs(a.x0 - b.x0) <= 0.51 AND abs(a.x1 - b.x1) <= 0.51 AND abs(a.y0 - b.y0) <= 0.51 AND abs(a.y1 - b.y1) <= 0.51),
+sides AS (SELECT t, e, t AS a, e AS o FROM near UNION ALL SELECT t, e, e, t FROM near),
+d AS (
+  SELECT t, e, a, i, min(sqrt(pow(x - sx - u * dx, 2) + pow(y - sy - u * dy, 2))) AS d FROM (
+    SELECT t, e, a, v.i, v.x, v.y, s.x AS sx, s.y AS sy, s.x2 - s.x AS dx, s.y2 - s.y AS dy,
+      greatest(0, least(1, ((v.x - s.x) * (s.x2 - s.x) + (v.y - s.y) * (s.y2 - s.y)) / greatest(pow(s.x2 - s.x, 2) + pow(s.y2 - s.y, 2), 1e-12))) AS u
+    FROM sides JOIN v ON v.k = a JOIN s ON s.k = o) GROUP BY 1, 2, 3, 4
+),
+agree AS (SELECT t, e FROM d GROUP BY 1, 2 HAVING max(d) <= 0.5 + 1e-9),
+found AS (SELECT t, e FROM agree UNION SELECT a.k, b.k FROM e a JOIN e b ON a.train AND NOT b.train AND a.b = b.b)
+"""
 SQL: dict[str, str] = {
+    "p7_found": f"{_OUTLINES} SELECT DISTINCT least(t, e) AS entity_key_a, greatest(t, e) AS entity_key_b FROM found WHERE t <> e",
+    "p3_found": f"{_VECTORS} SELECT DISTINCT least(id, other) AS internal_id_a, greatest(id, other) AS internal_id_b FROM r WHERE k <= 5 AND s >= 0.8",
     "p1_found": f"{_GROUPS} SELECT DISTINCT b AS building_id, g AS group_scene_id FROM entity JOIN broken USING (g) WHERE b IS NOT NULL",
     "p3_nearest": f"{_VECTORS} SELECT id, other FROM r WHERE k <= 5",
 }
