@@ -31,10 +31,46 @@ class Shape:
         return [r for p in self.parts for r in p]
 
 
+_AREAL = re.compile(r"\s*(MULTI)?POLYGON\s*(\(.*\))\s*", re.I | re.S)
+_SIGNS = re.compile(r"\s*([(),])\s*")
+
+
+def _areal(wkt: str) -> Shape | None:
+    """Polygons of two coordinates by splitting at brackets, most texts by far; None where that doesn't do."""
+    m = _AREAL.fullmatch(wkt)
+    if not m:
+        return None
+    body, depth = _SIGNS.sub(r"\1", m.group(2)), 3 if m.group(1) else 2
+    if not body.startswith("(" * depth) or not body.endswith(")" * depth):
+        return None
+    shape = Shape()
+    shape.kinds.append("MULTIPOLYGON" if m.group(1) else "POLYGON")
+    inner = body[depth:-depth]
+    for part in inner.split(")),((") if m.group(1) else [inner]:
+        rings = []
+        for text in part.split("),("):
+            words = text.replace(",", " ").split()
+            if "(" in text or ")" in text or len(words) != 2 * (text.count(",") + 1):
+                return None
+            try:
+                r = np.array(words, dtype=float).reshape(-1, 2)
+            except ValueError:
+                return None
+            if len(r) > 1 and r[0, 0] == r[-1, 0] and r[0, 1] == r[-1, 1]:
+                r = r[:-1]
+            else:
+                shape.unclosed = True
+            rings.append(r)
+        shape.parts.append(rings)
+    return shape
+
+
 def parse(wkt: str | None) -> Shape | None:
     """The shape of a WKT text; None for null and for what isn't WKT. EMPTY gives a shape without content."""
     if wkt is None:
         return None
+    if quick := _areal(wkt):
+        return quick
     t = _TOKEN.findall(wkt.upper())
     at = 0
     shape = Shape()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from landmosaic.operators import planar, shapes
 from landmosaic.plans.reference import BOX, PTS, Tables, c, lit, q, r6
+from landmosaic.runtime import width
 
 #: Box with a centred hole of half its size; every fifth has a second part of 10 x 10, 12 above.
 _W, _H = "(xmax - xmin)", "(ymax - ymin)"
@@ -24,7 +25,8 @@ def holed(t: Tables) -> DataFrame:
     w, h = c("xmax") - c("xmin"), c("ymax") - c("ymin")
     one = F.concat(lit("("), _ring(c("xmin"), c("ymin"), c("xmax"), c("ymax")), lit(", "), _ring(c("xmin") + w / 4, c("ymin") + h / 4, c("xmax") - w / 4, c("ymax") - h / 4), lit(")"))
     two = F.concat(lit("("), _ring(c("xmin"), c("ymax") + 12, c("xmin") + 10, c("ymax") + 22), lit(")"))
-    return t.box.withColumn("wkt", F.when(c("id") % 5 == 0, F.concat(lit("MULTIPOLYGON ("), one, lit(", "), two, lit(")"))).otherwise(F.concat(lit("POLYGON "), one)))
+    # few bytes, much work: one small file would be one task
+    return t.box.repartition(width(t.box), "id").withColumn("wkt", F.when(c("id") % 5 == 0, F.concat(lit("MULTIPOLYGON ("), one, lit(", "), two, lit(")"))).otherwise(F.concat(lit("POLYGON "), one)))
 
 
 def _measured(t: Tables) -> DataFrame:
@@ -50,7 +52,7 @@ def _faulty(t: Tables) -> DataFrame:
         F.concat(lit("POLYGON ("), _ring(x0, y0, x1, y1), lit(")")), open_(x0, y0, x1, y1, x1, y0, x0, y1, x0, y0), open_(x0, y0, x1, y0, x1, y1, x0, y1), open_(x0, y0, x1, y0, x1, y0, x1, y1, x0, y1, x0, y0),
         F.concat(F.format_string("GEOMETRYCOLLECTION (POINT (%.3f %.3f), POLYGON (", x0, y0), _ring(x0, y0, x1, y1), lit("))")), open_(x0, y0, x1, y0, x0, y0),
     ]
-    return t.box.withColumn("wkt", F.element_at(F.array(*kinds), (c("id") % 6 + 1).cast("int")))
+    return t.box.repartition(width(t.box), "id").withColumn("wkt", F.element_at(F.array(*kinds), (c("id") % 6 + 1).cast("int")))
 
 
 q("G10", f"SELECT id, CASE id % 6 WHEN 1 THEN 'self-crossing' WHEN 2 THEN 'not closed' WHEN 3 THEN 'repeated point' WHEN 5 THEN 'too few points' END AS fault FROM {BOX}")(lambda t: _faulty(t).select("id", shapes.measures("wkt")["fault"].alias("fault")))
@@ -133,4 +135,4 @@ def _dissolved(t: Tables) -> DataFrame:
     """Boxes of a kind, moved together so that many overlap, as one area."""
     x, y = c("xmin") % 400, c("ymin") % 400
     b = t.box.select("kind", x.alias("xmin"), y.alias("ymin"), (x + c("xmax") - c("xmin")).alias("xmax"), (y + c("ymax") - c("ymin")).alias("ymax"))
-    return planar.dissolved_area(b, "kind", 100.0)
+    return planar.dissolved_area(b, "kind", 200.0)
