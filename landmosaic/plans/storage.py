@@ -7,6 +7,7 @@ import sqlite3
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,43 @@ q("S10", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5186 WHEN p_partkey
 )
 
 
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    """A field of a protocol buffer."""
+    return _varint(number << 3) + _varint(value) if isinstance(value, int) else _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _zag(values: list) -> bytes:
+    return b"".join(_varint((int(v) << 1) ^ (int(v) >> 63)) for v in values)
+
+
+def _openstreetmap(t: Tables) -> DataFrame:
+    """Points as nodes of PBF files, one for each kind; every third has a tag."""
+
+    def pack(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("id")
+        step = lambda v: _zag(np.diff([0, *v]))
+        tags = b"".join(b"\1\2\0" if i % 3 == 0 else b"\0" for i in d["id"])
+        dense = _field(1, step(d["id"])) + _field(8, step(d["y"].astype(int) * 1000)) + _field(9, step(1_270_000_000 + d["x"].astype(int) * 1000)) + _field(10, tags)
+        block = _field(1, b"".join(_field(1, w.encode()) for w in ("", "shop", d["kind"].iloc[0]))) + _field(2, _field(2, dense))
+        blob = _field(2, len(block)) + _field(3, zlib.compress(block))
+        head = _field(1, b"OSMData") + _field(3, len(blob))
+        return pd.DataFrame({"path": [d["kind"].iloc[0] + ".osm.pbf"], "content": [len(head).to_bytes(4, "big") + head + blob]})
+
+    return t.pts.groupBy("kind").applyInPandas(pack, "path string, content binary")
+
+
+q("S13", f"SELECT id AS osm_id, kind AS shop, round(127 + x / 10000, 6) AS lon, round(y / 10000, 6) AS lat FROM {PTS} WHERE id % 3 = 0")(
+    lambda t: files.osm_objects(_openstreetmap(t), ["shop"]).select("osm_id", c("tags")["shop"].alias("shop"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+)
+
+
 def _cp949(t: Tables) -> DataFrame:
     """CSV bytes in CP949, decoded column by column in Arrow batches, two of three columns kept."""
 

@@ -15,6 +15,7 @@ import re
 import sqlite3
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -300,3 +301,98 @@ def fetched(df: DataFrame, key: str, requests: str, get: Callable[[str], tuple[i
             yield pd.DataFrame(out, columns=[key, "place", "code", "body", "error", "attempts"]).astype({"code": "Int32", "place": "int32", "attempts": "int32"})
 
     return df.select(key, requests).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, place int, code int, body string, error string, attempts int")
+
+
+def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer: integers and byte strings."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            x = b[at]
+            at += 1
+            n |= (x & 127) << shift
+            if x < 128:
+                return n
+            shift += 7
+
+    while at < len(b):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        elif tag & 7 == 2:
+            size = varint()
+            yield tag >> 3, b[at : at + size]
+            at += size
+        else:
+            at += 8 if tag & 7 == 1 else 4
+
+
+def _packed(b: bytes, signed: bool) -> np.ndarray:
+    """The integers of a packed field."""
+    x = np.frombuffer(b, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(x < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    shift = 7 * (np.arange(len(x)) - np.repeat(starts, ends - starts + 1))
+    n = np.add.reduceat((x & 127) << shift, starts) if len(ends) else np.zeros(0, np.int64)
+    return (n >> 1) ^ -(n & 1) if signed else n
+
+
+def osm_objects(files: DataFrame, tags: list[str]) -> DataFrame:
+    """(path, kind, osm_id, lon, lat, refs, tags) of the nodes and ways of .osm.pbf files that carry one of ``tags``.
+
+    Ways have the ids of their nodes in ``refs``; nodes without such a tag are
+    left out. Blocks are compressed with zlib, as is usual, or not at all.
+    """
+    wanted = set(tags)
+
+    def block(b: bytes) -> Iterator[tuple]:
+        scale, groups, words, shift = 100, [], [], [0, 0]
+        for k, v in _fields(b):
+            if k == 1:
+                words = [w.decode("utf-8", "replace") for _, w in _fields(v)]
+            elif k == 2:
+                groups.append(v)
+            elif k == 17:
+                scale = v
+            elif k in (19, 20):
+                shift[k - 19] = v
+        degree = lambda n, i: (shift[i] + scale * int(n)) * 1e-9
+        for kind, v in (f for g in groups for f in _fields(g)):
+            if kind == 1 or kind == 3:
+                m: dict[int, int | bytes] = dict(_fields(v))
+                t = {words[a]: words[z] for a, z in zip(_packed(m.get(2, b""), False), _packed(m.get(3, b""), False))}
+                if wanted & t.keys():
+                    zag = lambda n: (n >> 1) ^ -(n & 1)
+                    if kind == 1:
+                        yield "node", zag(m[1]), degree(zag(m[9]), 1), degree(zag(m[8]), 0), None, t
+                    else:
+                        yield "way", m[1], None, None, np.cumsum(_packed(m.get(8, b""), True)).tolist(), t
+            elif kind == 2:
+                m = dict(_fields(v))
+                ids, lat, lon = (np.cumsum(_packed(m.get(i, b""), True)) for i in (1, 8, 9))
+                pairs, at = _packed(m.get(10, b""), False), 0
+                for i in range(len(ids)):
+                    t = {}
+                    while at < len(pairs) and pairs[at]:
+                        t[words[pairs[at]]] = words[pairs[at + 1]]
+                        at += 2
+                    at += 1
+                    if wanted & t.keys():
+                        yield "node", int(ids[i]), degree(lon[i], 1), degree(lat[i], 0), None, t
+
+    def rows(path: str, b: bytes) -> list[tuple]:
+        out, at = [], 0
+        while at + 4 <= len(b):
+            n = struct.unpack(">I", b[at : at + 4])[0]
+            head = dict(_fields(b[at + 4 : at + 4 + n]))
+            at += 4 + n
+            blob = dict(_fields(b[at : at + head[3]]))
+            at += head[3]
+            if head[1] == b"OSMData":
+                out += [(path, *r) for r in block(blob[1] if 1 in blob else zlib.decompress(blob[3]))]
+        return out
+
+    return _each(files, rows, "path string, kind string, osm_id bigint, lon double, lat double, refs array<bigint>, tags map<string,string>")

@@ -3,6 +3,7 @@
 import json
 import sqlite3
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -256,3 +257,21 @@ def test_dissolved_boxes(spark):
     df = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 10.0), ("a", 5.0, 5.0, 15.0, 15.0), ("a", 5.0, 5.0, 15.0, 15.0), (None, 0.0, 0.0, 1.0, 1.0), ("b", None, 0.0, 1.0, 1.0), ("c", 1.0, 1.0, 1.0, 5.0)], "g string, xmin double, ymin double, xmax double, ymax double")
     assert {r["g"]: r["area"] for r in planar.dissolved_area(df, "g", 4.0).collect()} == {"a": 175.0, None: 1.0}
     assert planar.dissolved_area(df.limit(0), "g", 4.0).count() == 0
+
+
+def test_osm_files(spark, tmp_path):
+    _field, _varint, _zag = storage._field, storage._varint, storage._zag
+    words = ["", "amenity", "cafe", "name", "가게", "highway", "primary"]
+    ids, lat, lon = [10, 12, 15], [375000000, 375000100, -10], [1270000000, 1269999900, 5]
+    dense = _field(1, _zag(np.diff([0, *ids]))) + _field(8, _zag(np.diff([0, *lat]))) + _field(9, _zag(np.diff([0, *lon]))) + _field(10, b"".join(map(_varint, [1, 2, 3, 4, 0, 0, 3, 4, 0])))
+    way = _field(1, 77) + _field(2, _varint(5)) + _field(3, _varint(6)) + _field(8, _zag(np.diff([0, 12, 10, 15])))
+    block = _field(1, b"".join(_field(1, w.encode()) for w in words)) + _field(2, _field(2, dense)) + _field(2, _field(3, way))
+    data = b""
+    for kind, raw in ((b"OSMHeader", b""), (b"OSMData", block)):
+        blob = _field(2, len(raw)) + _field(3, zlib.compress(raw))
+        head = _field(1, kind) + _field(3, len(blob))
+        data += len(head).to_bytes(4, "big") + head + blob
+    (tmp_path / "x.osm.pbf").write_bytes(data)
+    got = {(r["kind"], r["osm_id"]): r for r in files.osm_objects(files.binary_files(spark, str(tmp_path), "*.pbf"), ["amenity", "highway"]).collect()}
+    assert set(got) == {("node", 10), ("way", 77)} and got["way", 77]["refs"] == [12, 10, 15] and got["node", 10]["tags"] == {"amenity": "cafe", "name": "가게"}
+    assert (got["node", 10]["lon"], got["node", 10]["lat"]) == pytest.approx((127.0, 37.5))
