@@ -100,3 +100,25 @@ def test_outlines_with_other_corners_are_found(spark):
     counts = {r["eval"]: r["partners"] for r in overlap.overlap_counts(df, "key", "b", "wkt", "split").collect()}
     assert counts == {"e1": 1, "e2": 2, "e3": 2}
     assert overlap.overlap_counts(df.limit(0), "key", "b", "wkt", "split").count() == 0
+
+
+def test_the_solver_finds_the_least_loss(spark):
+    rng = np.random.default_rng(12)
+    pairs = [("a", "x"), ("a", "y"), ("b", "y"), ("c", "z")]
+    bodies = np.where(rng.random((4, 13)) < 0.4, 0.0, rng.random((4, 13)))
+    bodies[:, 6:] *= 0.4
+    bodies[:, 12] = 1.0
+    bodies[:, :2] = 0.9
+    df = spark.createDataFrame([(a, b, v.tolist()) for (a, b), v in zip(pairs, bodies)], "a string, b string, bodies array<double>")
+    got = {(r["a"], r["b"]): r["truth"] for r in linkage.solve(df, 200, 1e-3).collect()}
+    m = np.array([got.get(p, 0.0) for p in pairs])
+    w = linkage._WEIGHTS
+
+    def loss(m):
+        return (w[:6] * np.maximum(0, bodies[:, :6] - m[..., None])).sum((-1, -2)) + (w[6:] * np.maximum(0, m[..., None] - (1 - bodies[:, 6:]))).sum((-1, -2))
+
+    grid = np.linspace(0, 1, 26)
+    every = np.stack(np.meshgrid(grid, grid, grid, grid, indexing="ij"), axis=-1).reshape(-1, 4)
+    allowed = every[(every[:, 0] + every[:, 1] <= 1) & (every[:, 1] + every[:, 2] <= 1)]
+    assert m[0] + m[1] <= 1.01 and m[1] + m[2] <= 1.01 and loss(m) <= loss(allowed).min() + 0.1 and m.max() > 0.5
+    assert linkage.solve(df.limit(0)).count() == 0
