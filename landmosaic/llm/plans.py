@@ -212,6 +212,10 @@ found AS (SELECT t, e FROM agree UNION SELECT a.k, b.k FROM e a JOIN e b ON a.tr
 """
 SQL: dict[str, str] = {
     "p7_found": f"{_OUTLINES} SELECT DISTINCT least(t, e) AS entity_key_a, greatest(t, e) AS entity_key_b FROM found WHERE t <> e",
+    "p7_report": f"""{_OUTLINES}, ev AS (
+  SELECT DISTINCT geo2vec_internal_id, entity_key, source_system, split FROM scene_entities JOIN split ON id = geo2vec_internal_id WHERE split IN (1, 2)
+), n AS (SELECT e, count(DISTINCT t) AS n FROM found WHERE t <> e GROUP BY 1)
+SELECT split, source_system, count(*) AS entities, count(n) AS overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs FROM ev LEFT JOIN n ON e = entity_key GROUP BY 1, 2""",
     "p3_found": f"{_VECTORS} SELECT DISTINCT least(id, other) AS internal_id_a, greatest(id, other) AS internal_id_b FROM r WHERE k <= 5 AND s >= 0.8",
     "p1_found": f"{_GROUPS} SELECT DISTINCT b AS building_id, g AS group_scene_id FROM entity JOIN broken USING (g) WHERE b IS NOT NULL",
     "p3_nearest": f"{_VECTORS} SELECT id, other FROM r WHERE k <= 5",
