@@ -365,3 +365,15 @@ def _aliased(t: Tables) -> DataFrame:
 
 
 q("K09", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(_aliased)
+
+
+_FEATURE = "'{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || CAST(x + 0.5::DOUBLE AS VARCHAR) || ',' || CAST(y + 0.5::DOUBLE AS VARCHAR) || ']}}'"
+
+
+def _layers(t: Tables) -> DataFrame:
+    """Two layers of a map, each with its own bound."""
+    p = t.pts.withColumns({"x": c("x") + 0.5, "y": c("y") + 0.5})
+    return sinks.map_features(p, "all", "id", "x", "y", 100).union(sinks.map_features(p.where("kind = 'BUILDING'"), "building", "id", "x", "y", 30))
+
+
+q("K10", f"SELECT * FROM (SELECT 'all' AS layer, id AS key, {_FEATURE} AS feature FROM {PTS} ORDER BY id LIMIT 100) UNION ALL SELECT * FROM (SELECT 'building', id, {_FEATURE} FROM {PTS} WHERE kind = 'BUILDING' ORDER BY id LIMIT 30)")(_layers)

@@ -108,3 +108,10 @@ def alias_tables(spark: SparkSession, tables: dict[str, str], prefix: str) -> li
     for name, path in tables.items():
         spark.read.parquet(path).createOrReplaceTempView(f"{prefix}_{name}")
     return [f"{prefix}_{name}" for name in tables]
+
+
+def map_features(df: DataFrame, layer: str, key: str, lon: str, lat: str, most: int) -> DataFrame:
+    """(layer, key, feature): GeoJSON points for a map, at most ``most`` of a layer, the first by key, as a viewer draws no more."""
+    top = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).orderBy(key).limit(most)
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.round(lon, 5), F.round(lat, 5)).alias("coordinates"))
+    return top.select(F.lit(layer).alias("layer"), F.col(key).alias("key"), F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"))).alias("feature"))
