@@ -210,6 +210,56 @@ def form_similarity(p: str, q: str) -> float:
     return max(whole, 0.9 * max(0.0, head))
 
 
+def _edits(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`_edit` of many pairs at once: the bit vectors of all pairs move together. Pairs with a longer text than 63 letters go one by one."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    long = (la > 63) | (lb > 63) | (la == 0) | (lb == 0)
+    for i in np.flatnonzero(long):
+        out[i] = _edit(a[i], b[i])
+    at = np.flatnonzero(~long)
+    if not len(at):
+        return out
+    la, lb = la[at], lb[at]
+    # letters in Latin-1 (forms are romanized); shorter texts are filled up
+    code = lambda t, n: np.frombuffer("".join(t[i].ljust(n, "\0") for i in at).encode("latin-1", "replace"), np.uint8).reshape(len(at), n)
+    x, y = code(a, int(la.max())), code(b, int(lb.max()))
+    rows, one = np.arange(len(at)), np.uint64(1)
+    masks = np.zeros((len(at), 256), np.uint64)
+    for i in range(x.shape[1]):
+        masks[rows, x[:, i]] |= np.where(i < la, one << np.uint64(i), np.uint64(0))
+    every, last = (one << la.astype(np.uint64)) - one, one << (la.astype(np.uint64) - one)
+    plus, distance = every.copy(), la.copy()
+    minus, same, before = (np.zeros(len(at), np.uint64) for _ in range(3))
+    for j in range(y.shape[1]):
+        on = j < lb
+        here = np.where(on, masks[rows, y[:, j]], np.uint64(0))
+        swap = ((~same & here) << one) & before
+        new = ((((here & plus) + plus) ^ plus) | here | minus | swap) & every
+        right, left = (minus | ~(new | plus)) & every, new & plus
+        distance += np.where(on, (right & last != 0).astype(np.int64) - (left & last != 0), 0)
+        right, left = (right << one | one) & every, (left << one) & every
+        plus, minus = np.where(on, (left | ~(new | right)) & every, plus), np.where(on, right & new, minus)
+        same, before = np.where(on, new, same), np.where(on, here, before)
+    out[at] = distance
+    return out
+
+
+def form_similarities(p: list[str], q: list[str]) -> np.ndarray:
+    """:func:`form_similarity` of many pairs at once."""
+    a, b = [t.replace(" ", "") for t in p], [t.replace(" ", "") for t in q]
+    size = np.array([max(len(u), len(v), 1) for u, v in zip(a, b)])
+    whole = 1 - _edits(a, b) / size
+    heads = [sorted((u.split(" ")[0], v.split(" ")[0]), key=len) for u, v in zip(p, q)]
+    n = np.array([len(h[0]) for h in heads])
+    start = np.array([h[0] == h[1][: len(h[0])] for h in heads])
+    head = np.where(n >= 5, 0.0, np.where(start, n / 5, 0.0))
+    some = np.flatnonzero(n >= 5)
+    if len(some):
+        head[some] = 1 - _edits([heads[i][0] for i in some], [heads[i][1][: n[i]] for i in some]) / n[some]
+    return np.where([u == v for u, v in zip(a, b)], 1.0, np.maximum(whole, 0.9 * np.maximum(0.0, head)))
+
+
 def _branch(form: str) -> str | None:
     """The branch word of a romanized name, if it has one."""
     m = re.search(r" (\w+jeom|bongwan|byeolgwan|\w{4,})$", form)
@@ -218,21 +268,25 @@ def _branch(form: str) -> str | None:
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for fa, fb in zip(b["forms_a"], b["forms_b"]):
-            best, branch = 0.0, 0.0
-            for p in fa:
-                for q in fb:
-                    s = form_similarity(p, q)
-                    if s > best:
-                        best = s
-                        u, v = _branch(p), _branch(q)
-                        branch = 0.0 if not u or not v else 1.0 if form_similarity(u, v) > 0.7 else -1.0
-            rows.append((best if len(fa) and len(fb) else None, branch))
-        out = b[["a", "b", "ka", "kb", "gap", "tel", "addr"]].copy()
-        out["name"] = [r[0] for r in rows]
-        out["branch"] = [r[1] for r in rows]
-        yield out
+        flat = [(i, p, q) for i, (fa, fb) in enumerate(zip(b["forms_a"], b["forms_b"])) for p in fa for q in fb]
+        # names recur from pair to pair: each two forms are measured once
+        at: dict[tuple[str, str], int] = {}
+        for _, p, q in flat:
+            at.setdefault((p, q), len(at))
+        found = form_similarities([p for p, _ in at], [q for _, q in at]) if at else np.zeros(0)
+        name: list[float | None] = [0.0 if len(fa) and len(fb) else None for fa, fb in zip(b["forms_a"], b["forms_b"])]
+        best: list[tuple[str, str] | None] = [None] * len(b)
+        for i, p, q in flat:
+            s = found[at[p, q]]
+            if s > name[i]:
+                name[i], best[i] = float(s), (p, q)
+        branch = np.zeros(len(b))
+        for i, pq in enumerate(best):
+            if pq:
+                u, v = _branch(pq[0]), _branch(pq[1])
+                if u and v:
+                    branch[i] = 1.0 if form_similarity(u, v) > 0.7 else -1.0
+        yield b[["a", "b", "ka", "kb", "gap", "tel", "addr"]].assign(name=pd.array(name, "Float64"), branch=branch)
 
 
 def evidence(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -122,3 +122,11 @@ def test_the_solver_finds_the_least_loss(spark):
     allowed = every[(every[:, 0] + every[:, 1] <= 1) & (every[:, 1] + every[:, 2] <= 1)]
     assert m[0] + m[1] <= 1.01 and m[1] + m[2] <= 1.01 and loss(m) <= loss(allowed).min() + 0.1 and m.max() > 0.5
     assert linkage.solve(df.limit(0)).count() == 0
+
+
+def test_batched_similarity_equals_the_single_one():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeg "), n)).strip() or "a" for n in rng.choice([1, 3, 6, 12, 25, 63, 64, 90], 400)]
+    p, q = words, [w[1:] + w[:1] if i % 3 else w[: len(w) // 2] + "x" + w[len(w) // 2 :] if i % 2 else words[-i] for i, w in enumerate(words)]
+    assert (linkage.form_similarities(p, q) == [linkage.form_similarity(a, b) for a, b in zip(p, q)]).all()
+    assert (linkage._edits(p, q) == [linkage._edit(a, b) for a, b in zip(p, q)]).all() and len(linkage._edits([], [])) == 0
