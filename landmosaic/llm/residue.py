@@ -88,14 +88,14 @@ def _words(t: str, quotes: bool = True) -> list[str]:
 
 
 def passages(text: str | None) -> list[dict]:
-    """The passages of a text: {feats, seed, n, slots, long, of}.
+    """The passages of a text: {feats, seed, n, slots, fills, long, of}.
 
     ``feats`` are hashed features, ``seed`` the trusted class (0: none), ``n``
     the number of words. Placeholder shapes become one word; one in quotes, in
     a code fence or glued to a path or a program's word is another word, since
-    such texts quote or hold code. ``slots`` has, for each open placeholder,
-    the bucket of its neighbour words times 64 plus the bit of its own string;
-    ``of`` is a hash of the text.
+    such texts quote or hold code. ``slots`` has, for each open placeholder, a
+    hash of its neighbour words, ``fills`` one of its own string; ``of`` is a
+    hash of the text.
     """
     if text is None or not text.strip():
         return []
@@ -135,7 +135,7 @@ def passages(text: str | None) -> list[dict]:
                     left, right = words[i - 1] if i else "^", words[i + 1] if i + 1 < len(words) else "$"
                     feats |= {f"l {left} {w}", f"r {w} {right}"}
                     if w == "qxslotxq" and k < len(found):
-                        slots.append(_hash(f"c {left} {right}", half) * 64 + xxhash.xxh3_64_intdigest(found[k].strip()) % 64)
+                        slots.append((xxhash.xxh3_64_intdigest(f"{half} {left} {right}") >> 1, xxhash.xxh3_64_intdigest(found[k].strip()) >> 1))
                         k += 1
         plain = [w for w in words if w.isalpha()]
         if len(plain) >= 3 and len(set(plain)) * 2 <= len(plain):
@@ -147,7 +147,7 @@ def passages(text: str | None) -> list[dict]:
             low = p.lower()
             bare = _QUOTED.sub(" ", low) if quotes else low
             seed = 2 if filler and _FILLER.search(bare) else 3 if (status and _STATUS.search(low)) or (script and _SCRIPT.search(bare)) else 0
-        out.append({"feats": sorted(_buckets(set(words), half).union(_hash(f, half) for f in feats)), "seed": seed, "n": len(plain), "slots": slots})
+        out.append({"feats": sorted(_buckets(set(words), half).union(_hash(f, half) for f in feats)), "seed": seed, "n": len(plain), "slots": [a for a, _ in slots], "fills": [z for _, z in slots]})
     page = len(text) <= SHORT and "```" not in text and any(o["seed"] == 3 for o in out)
     of = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
     for o in out:
@@ -160,14 +160,15 @@ def passages(text: str | None) -> list[dict]:
 
 
 
-_PASSAGE = pa.schema([("key", pa.int64()), ("seed", pa.int8()), ("n", pa.int32()), ("feats", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())), ("long", pa.bool_()), ("of", pa.int64())])
+_PASSAGE = pa.schema([("key", pa.int64()), ("seed", pa.int8()), ("n", pa.int32()), ("feats", pa.list_(pa.int32())), ("slots", pa.list_(pa.int64())), ("fills", pa.list_(pa.int64())), ("long", pa.bool_()), ("of", pa.int64())])
+_CUT_SCHEMA = "key bigint, seed tinyint, n int, feats array<int>, slots array<bigint>, fills array<bigint>, long boolean, of bigint"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def lists(values: list[list[int]]) -> pa.Array:
+    def lists(values: list[list[int]], kind: type) -> pa.Array:
         at = np.zeros(len(values) + 1, np.int32)
         np.cumsum([len(v) for v in values], out=at[1:])
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.fromiter(chain.from_iterable(values), np.int32, at[-1])))
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.fromiter(chain.from_iterable(values), kind, at[-1])))
 
     for big in batches:
         for start in range(0, big.num_rows, 512):
@@ -177,43 +178,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = passages(t)
                 rows += found
                 keys += [k] * len(found)
-            made = {f.name: lists([r[f.name] for r in rows]) if pa.types.is_list(f.type) else pa.array(keys if f.name == "key" else [r[f.name] for r in rows], f.type) for f in _PASSAGE}
+            made = {f.name: lists([r[f.name] for r in rows], f.type.value_type.to_pandas_dtype()) if pa.types.is_list(f.type) else pa.array(keys if f.name == "key" else [r[f.name] for r in rows], f.type) for f in _PASSAGE}
             yield pa.RecordBatch.from_arrays(list(made.values()), schema=_PASSAGE)
 
 
-def context_classes(cut: DataFrame) -> np.ndarray:
-    """Per bucket of neighbour words: 1 if placeholders there differ, -1 if one string recurs in several distinct texts, 0 if too rare to tell.
+def in_context(cut: DataFrame) -> DataFrame:
+    """(key, seed, n, feats, long, some, varied, fixed) of all passages.
 
-    What fills a template's gap varies, so differing strings are trusted. One
-    string that recurs may be a way of speaking or a form letter: it doesn't
-    teach the model what a placeholder's sentence is like, but is judged by
-    it. Copies of a text count once.
+    ``some``: it has an open placeholder. ``varied``: differing strings stand
+    elsewhere between the same neighbour words as one of its placeholders.
+    What fills a template's gap varies, so such a passage is trusted.
+    ``fixed``: each of its placeholders is the one string that recurs there in
+    several distinct texts. That may be a way of speaking or a form letter: it
+    doesn't teach the model what a placeholder's sentence is like, but is
+    judged by it. Copies of a text count once. Only passages with
+    placeholders, which are few, are grouped and joined.
     """
-    slots = cut.where(F.size("slots") > 0).select("of", F.explode("slots").alias("s"))
-    by = slots.groupBy(F.shiftright("s", 6).alias("f")).agg(F.countDistinct("of").alias("count"), F.expr("bit_count(bit_or(shiftleft(1L, s & 63)))").alias("kinds"))
-    got = by.toPandas()  # one row for each of the BUCKETS at most
-    out = np.zeros(BUCKETS, np.int8)
-    kinds, count = got["kinds"].to_numpy(), got["count"].to_numpy()
-    out[got["f"].to_numpy(dtype=int)] = np.where(kinds >= 4, 1, np.where((count >= 4) & (kinds == 1), -1, 0))
-    return out
-
-
-def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray | None, contexts: np.ndarray, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slotted = durable(cut.where(F.size("slots") > 0).withColumn("pid", F.monotonically_increasing_id()))
+    each = slotted.select("pid", "of", F.explode(F.arrays_zip("slots", "fills")).alias("s")).select("pid", "of", "s.slots", "s.fills")
+    seen = each.groupBy("slots").agg(F.countDistinct("of").alias("texts"), F.countDistinct("fills").alias("kinds"))
+    seen = seen.select("slots", (F.col("kinds") >= 4).alias("varied"), ((F.col("texts") >= 4) & (F.col("kinds") == 1)).alias("fixed"))
+    flags = each.join(seen, "slots").groupBy("pid").agg(F.max("varied").alias("varied"), F.min("fixed").alias("fixed"))
+    names = ["key", "seed", "n", "feats", "long"]
+    marked = durable(slotted.join(flags, "pid").select(*names, F.lit(True).alias("some"), "varied", "fixed"))
+    no = F.lit(False)
+    return cut.where(F.size("slots") == 0).select(*names, no.alias("some"), no.alias("varied"), no.alias("fixed")).unionByName(marked)
+
+
+def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray | None, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, passage of each feature, class probabilities of each passage)."""
     n = b.num_rows
-
-    def flat(i: int) -> tuple[np.ndarray, np.ndarray]:
-        lists = b.column(i)
-        return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-
-    feats, row = flat(3)
-    slots, at = flat(4)
-    kind = contexts[slots // 64]
-    varied = np.bincount(at, weights=kind == 1, minlength=n) > 0
-    some = np.bincount(at, minlength=n)
-    fixed = (some > 0) & (np.bincount(at, weights=kind == -1, minlength=n) == some)
-    seed = b.column(1).to_numpy(zero_copy_only=False).astype(int)
-    seed = np.where((seed == 0) & varied, 1, seed)
+    flag = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(bool)
+    lists = b.column("feats")
+    feats, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    seed = b.column("seed").to_numpy(zero_copy_only=False).astype(int)
+    seed = np.where((seed == 0) & flag("varied"), 1, seed)
     if model is None:
         p = np.zeros((n, len(CLASSES)))
         p[:, 0] = 1
@@ -223,9 +222,9 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
         half[row] = feats // HALF
         score += prior[half]
         # no unfilled placeholder without an open one; long texts teach no errors, but are judged
-        score[(some == 0) | (fixed & training), 1] = -np.inf
+        score[~flag("some") | (flag("fixed") & training), 1] = -np.inf
         if training:
-            score[b.column(5).to_numpy(zero_copy_only=False).astype(bool), 3] = -np.inf
+            score[flag("long"), 3] = -np.inf
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)
@@ -236,7 +235,7 @@ def _posterior(b: pa.RecordBatch, model: np.ndarray | None, prior: np.ndarray |
     return feats, row, p
 
 
-def learn(cut: DataFrame, contexts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def learn(cut: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximization: (log P(feature | class) by class and bucket, log P(class) by script and class).
 
     Trusted passages keep their class; all others start as normal and get the
@@ -248,7 +247,7 @@ def learn(cut: DataFrame, contexts: np.ndarray, rounds: int = ROUNDS) -> tuple[n
     model = prior = None
     trusted = np.ones((2, len(CLASSES)), dtype=bool)
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast((model, prior, contexts))
+        held = spark.sparkContext.broadcast((model, prior))
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(CLASSES), BUCKETS + 2))
@@ -296,16 +295,15 @@ def residue_records(df: DataFrame, key: str, text: str) -> DataFrame:
     out. With no trusted passage at all nothing comes out.
     """
     slim = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    cut = durable(slim.mapInArrow(_cut, "key bigint, seed tinyint, n int, feats array<int>, slots array<int>, long boolean, of bigint"))
-    contexts = context_classes(cut)
-    model, prior = learn(cut, contexts)
-    held = df.sparkSession.sparkContext.broadcast((model, prior, contexts))
+    cut = in_context(durable(slim.mapInArrow(_cut, _CUT_SCHEMA)))
+    model, prior = learn(cut)
+    held = df.sparkSession.sparkContext.broadcast((model, prior))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 _, _, p = _posterior(b, *held.value)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(p[:, c]) for c in range(len(CLASSES))]], names=["key", "n", *CLASSES])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), *[pa.array(p[:, c]) for c in range(len(CLASSES))]], names=["key", "n", *CLASSES])
 
     judged = cut.mapInArrow(judge, "key bigint, n int, " + ", ".join(f"{c} double" for c in CLASSES))
     is_error = (F.col("error") >= 0.5).cast("int")
