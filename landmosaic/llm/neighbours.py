@@ -25,8 +25,10 @@ BUCKET = 1024
 TARGET = 0.95
 #: Rows of the sample whose pairs tell how many bits differ at the least cosine, and how many such pairs tell enough.
 PROBE_ROWS, ENOUGH_PAIRS = 2000, 200
-#: Crowded buckets that are broadcast; more are joined by a shuffle.
+#: Crowded buckets, repeated keys or equal vectors that are broadcast; more are joined by a shuffle.
 CROWDED_SENT = 100_000
+#: Substrings that are shuffled at once, with the vectors, at least; and such waves at most.
+WAVE, WAVES = 2, 32
 #: Rows of a bucket that are compared in one block; larger buckets are cut into blocks and all pairs of blocks are compared.
 BLOCK = 8192
 
@@ -59,7 +61,16 @@ def usable(df: DataFrame, key: str, dim_column: str, vector: str, dim: int) -> D
             yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), v], names=["k", "v"])
 
     slim = df.where(F.col(key).isNotNull() & (F.col(dim_column) == dim)).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<float>").alias("v"))
-    return slim.mapInArrow(scale, "k bigint, v array<float>").groupBy("k").agg(F.max("v").alias("v")).withColumnRenamed("k", key)
+    scaled = slim.mapInArrow(scale, "k bigint, v array<float>")
+    greatest = lambda d: d.groupBy("k").agg(F.max("v").alias("v"))
+    # few keys are repeated, and only their vectors are shuffled
+    several = durable(scaled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    if several.limit(CROWDED_SENT + 1).count() > CROWDED_SENT:
+        one = greatest(scaled)
+    else:
+        several = F.broadcast(several)
+        one = scaled.join(several, "k", "left_anti").unionByName(greatest(scaled.join(several, "k", "left_semi")))
+    return one.withColumnRenamed("k", key)
 
 
 def learn_codes(sample: np.ndarray, n: int, least: float, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 11) -> Codes:
@@ -116,10 +127,11 @@ def _flips_at(sample: np.ndarray, bit: np.ndarray, least: float, band: float = 0
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
-def _postings(vectors: DataFrame, key: str, codes: Codes) -> DataFrame:
-    """(t, s, id, h0, h1, ...) for each vector and substring: number, value, key, and the whole code."""
-    words = codes.rotation.shape[1] // 64
+def _postings(vectors: DataFrame, key: str, codes: Codes, wave: range, whole: bool = True) -> DataFrame:
+    """(t, s, id, h0, h1, ..., v) for each vector and substring of the wave: number, value, key, the whole code, and the vector's bytes; only (t, s) if not ``whole``."""
+    words = codes.rotation.shape[1] // 64 if whole else 0
     held = vectors.sparkSession.sparkContext.broadcast(codes)
+    names = ["t", "s"] + ["id", *[f"h{w}" for w in range(words)], "v"] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
@@ -127,19 +139,24 @@ def _postings(vectors: DataFrame, key: str, codes: Codes) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) - c.centre
-            bit = (x @ c.rotation) > 0
-            packed = [np.packbits(bit[:, 64 * w : 64 * w + 64], axis=1).view(">i8").astype(np.int64).ravel() for w in range(words)]
-            ids = b.column(0)
-            for t, at in enumerate(c.substrings):
+            v = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(n, -1)
+            bit = ((v.astype(np.float64) - c.centre) @ c.rotation) > 0
+            rest = []
+            if whole:
+                packed = [np.packbits(bit[:, 64 * w : 64 * w + 64], axis=1).view(">i8").astype(np.int64).ravel() for w in range(words)]
+                ends = np.arange(0, v.nbytes + 1, v.itemsize * v.shape[1], dtype=np.int32)
+                rest = [b.column(0), *map(pa.array, packed), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(v)])]
+            for t in wave:
+                at = c.substrings[t]
                 s = bit[:, at] @ (1 << np.arange(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(s.astype(np.int32)), ids, *map(pa.array, packed)], names=["t", "s", "id", *[f"h{w}" for w in range(words)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(s.astype(np.int32)), *rest], names=names)
 
-    return vectors.select(key, "v").mapInArrow(run, "t int, s int, id bigint, " + ", ".join(f"h{w} bigint" for w in range(words)))
+    schema = "t int, s int" + (", id bigint, " + "".join(f"h{w} bigint, " for w in range(words)) + "v binary") * whole
+    return vectors.select(key, "v").mapInArrow(run, schema)
 
 
-def _compare(codes: Codes):
-    """All pairs within the Hamming radius in a group of buckets or a pair of blocks.
+def _compare(codes: Codes, least: float):
+    """All pairs within the Hamming radius and with a cosine of at least ``least`` in a group of buckets or a pair of blocks.
 
     A pair is given by the first substring that it shares, so none comes twice.
     """
@@ -150,7 +167,7 @@ def _compare(codes: Codes):
         m[at] = 1
         masks.append(np.packbits(m).view(">u8").astype(np.uint64))
 
-    def pairs(h: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, same: bool) -> list:
+    def pairs(h: np.ndarray, v: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, same: bool) -> list:
         out = []
         for start in range(0, len(left), 256):
             p = left[start : start + 256]
@@ -171,31 +188,45 @@ def _compare(codes: Codes):
                 for w in range(words):
                     hit &= (diff[w] & masks[u][w]) == 0
                 first &= ~hit
-            a, b = ids[p[i[first]]], ids[right[j[first]]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            i, j = p[i[first]], right[j[first]]
+            cos = np.einsum("ij,ij->i", v[i].astype(np.float64), v[j].astype(np.float64))
+            near = cos >= least - 1e-7
+            a, b = ids[i[near]], ids[j[near]]
+            out.append((np.minimum(a, b), np.maximum(a, b), cos[near]))
         return out
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         h = np.stack([df[f"h{w}"].to_numpy() for w in range(words)], axis=1).view(np.uint64)  # bits of a signed number are those of its absolute value
         ids, s, part = df["id"].to_numpy(), df["s"].to_numpy(), df["part"].to_numpy()
-        t, i, j = (int(v) for v in (key[0], key[2], key[3]))
+        v = np.frombuffer(b"".join(df["v"]), np.float32).reshape(len(df), -1)
+        t, i, j = int(key[0]), int(key[2]), int(key[3])
         found: list = []
         order = np.argsort(s, kind="stable")
         for bucket in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
             if i == j:
-                found += pairs(h, ids, bucket, bucket, t, True)
+                found += pairs(h, v, ids, bucket, bucket, t, True)
             else:
-                found += pairs(h, ids, bucket[part[bucket] == i], bucket[part[bucket] == j], t, False)
-        ab = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": ab[0], "b": ab[1]})
+                found += pairs(h, v, ids, bucket[part[bucket] == i], bucket[part[bucket] == j], t, False)
+        a, b, cos = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"a": a, "b": b, "cosine": cos})
 
     return run
 
 
-def _classes(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(id, v, h1, h2) of all vectors and (h1, h2, id, v) of the classes of equal ones, each with its least id. Vectors are equal if 128 bits of hashes are."""
-    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    return flat, durable(flat.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v")))
+def _members(vectors: DataFrame, key: str) -> DataFrame:
+    """(id, c): the class of each vector, named by the least id of the equal ones. Vectors are equal if 128 bits of hashes are; only these are shuffled."""
+    flat = vectors.select(F.col(key).cast("bigint").alias("id"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    twins = flat.groupBy("h1", "h2").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return durable(flat.join(twins, ["h1", "h2"], "left").select("id", F.coalesce("c", "id").alias("c")))
+
+
+def _classes(vectors: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """(id, v): the vectors that name a class."""
+    rest = durable(members.where("id != c").select("id"))
+    flat = vectors.select(F.col(key).cast("bigint").alias("id"), "v")
+    if rest.limit(CROWDED_SENT + 1).count() > CROWDED_SENT:
+        return durable(flat.join(rest, "id", "left_anti"))
+    return flat.join(F.broadcast(rest), "id", "left_anti")
 
 
 def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: int = 64) -> DataFrame:
@@ -207,7 +238,9 @@ def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: i
     binary code; the code is cut into substrings, each indexed. Codes in a
     Hamming radius r of each other share one of r + 1 disjoint substrings, and
     most pairs share one much sooner. Codes that share a substring are
-    compared whole, and pairs within the radius are ranked by their floats.
+    compared whole, and pairs within the radius are measured by their floats,
+    which travel with the postings; a few substrings are shuffled at a time,
+    and their files go before the next, so that disk holds one wave, not all.
     Probing all substrings near a substring, which alone would be certain to
     meet every code within the radius, is not done: at the radius of such a
     cosine it would look up thousands of buckets for each vector. Instead
@@ -220,39 +253,34 @@ def nearest(vectors: DataFrame, key: str, k: int = 5, least: float = 0.8, dim: i
     Ties in the cosine go to the lesser key. Returns (id, other, cosine).
     """
     spark = vectors.sparkSession
-    flat, cls = _classes(vectors, key)
-    n = cls.count()
+    members = _members(vectors, key)
+    cls = _classes(vectors, key, members)
+    n = members.where("id = c").count()
     empty = spark.createDataFrame([], "id bigint, other bigint, cosine double")
     if not n:
         return empty
     sample = np.array([r["v"] for r in cls.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], dtype=np.float64)
     codes = learn_codes(sample, n, least)
-    bits = codes.rotation.shape[1]
+    bits, count = codes.rotation.shape[1], len(codes.substrings)
 
-    posted = _postings(cls, "id", codes)
-    crowd = posted.groupBy("t", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    crowd = _postings(cls, "id", codes, range(count), whole=False).groupBy("t", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     crowd = durable(crowd.select("t", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     if crowd.limit(CROWDED_SENT + 1).count() <= CROWDED_SENT:
         crowd = F.broadcast(crowd)
     # plain buckets travel in groups of neighbours; crowded ones as pairs of blocks
-    posted = posted.join(crowd, ["t", "s"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     tasks = F.when(F.col("parts").isNull(), F.array(F.struct(F.shiftright("s", 3).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct((-1 - F.col("s")).alias("g"), F.least("part", o).cast("int").alias("i"), F.greatest("part", o).cast("int").alias("j")))
     )
-    blocks = posted.withColumn("task", F.explode(tasks)).select("t", "s", "id", "part", "task.*", *[f"h{w}" for w in range(bits // 64)])
-    pairs = durable(blocks.groupBy("t", "g", "i", "j").applyInPandas(_compare(codes), "a bigint, b bigint"))
-
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64) for c in (2, 3))
-            cos = np.einsum("ij,ij->i", x, y) if b.num_rows else np.zeros(0)
-            keep = pa.array(cos >= least - 1e-7)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(cos).filter(keep)], names=["a", "b", "cosine"])
-
-    va, vb = cls.select(F.col("id").alias("a"), F.col("v").alias("va")), cls.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(dot, "a bigint, b bigint, cosine double")
+    step = max(WAVE, math.ceil(count / WAVES))
+    scored = None
+    for first in range(0, count, step):
+        posted = _postings(cls, "id", codes, range(first, min(count, first + step)))
+        posted = posted.join(crowd, ["t", "s"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+        blocks = posted.withColumn("task", F.explode(tasks)).select("t", "s", "id", "part", "task.*", *[f"h{w}" for w in range(bits // 64)], "v")
+        found = durable(blocks.groupBy("t", "g", "i", "j").applyInPandas(_compare(codes, least), "a bigint, b bigint, cosine double"))
+        scored = found if scored is None else scored.unionByName(found)
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d"), "cosine"), F.struct(F.col("b").alias("c"), F.col("a").alias("d"), "cosine"))).alias("x")).select("x.*")
-    return _lists(flat, cls, both, k)
+    return _lists(members, both, k)
 
 
 def _top(k: int):
@@ -290,18 +318,18 @@ def nearest_of_all(vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
     task of its own, so the work grows with the square of the classes. Ties
     in the cosine go to the lesser key. Returns (id, other, cosine).
     """
-    flat, cls = _classes(vectors, key)
+    members = _members(vectors, key)
+    cls = durable(_classes(vectors, key, members))
     parts = max(1, math.ceil(cls.count() / BLOCK))
     placed = cls.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
     tasks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     pairs = placed.withColumn("task", F.explode(tasks)).select("id", "v", "part", "task.*")
-    return _lists(flat, cls, durable(pairs.groupBy("i", "j").applyInPandas(_top(k), "c bigint, d bigint, cosine double")), k)
+    return _lists(members, durable(pairs.groupBy("i", "j").applyInPandas(_top(k), "c bigint, d bigint, cosine double")), k)
 
 
-def _lists(flat: DataFrame, cls: DataFrame, both: DataFrame, k: int) -> DataFrame:
+def _lists(members: DataFrame, both: DataFrame, k: int) -> DataFrame:
     """(id, other, cosine): the k best of every vector, from the similar classes (c, d, cosine)."""
     # of a class only its k + 1 least members can be anyone's nearest, as they tie
-    members = durable(flat.join(cls.select("h1", "h2", F.col("id").alias("c")), ["h1", "h2"]).select("id", "c"))
     few = durable(_least_members(members, k + 1))
     others = both.join(few.select(F.col("c").alias("d"), "m"), "d").select("c", "cosine", F.explode(F.slice("m", 1, k)).alias("other"))
     best = others.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).select("c", "other", "cosine")

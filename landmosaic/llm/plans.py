@@ -42,7 +42,7 @@ def p1_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.durable(neighbours.usable(table(spark, sf_dir, "geo2vec_vectors"), ID, "geo_dim", "embedding", 64))
+    return neighbours.usable(table(spark, sf_dir, "geo2vec_vectors"), ID, "geo_dim", "embedding", 64)
 
 
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,19 @@ def test_residue_is_told_from_quotes(spark):
     assert {k for k in got if k < 1000 or k >= 4000} == set()
     assert all(1000 + i in got for i in range(40)) and all(2000 + i in got for i in range(20)) and all(3000 + i in got for i in range(10))
     assert residue.residue_records(df.limit(0), "k", "text").count() == 0
+
+
+def test_neighbours_in_waves_are_those_of_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60, 64))
+    x = np.concatenate([x, x + rng.standard_normal(x.shape) * 0.2]).astype(np.float32)
+    df = neighbours.usable(spark.createDataFrame([(i, 64, v.tolist()) for i, v in enumerate(x)] + [(3, 64, [9.0] * 64)], "k long, dim int, e array<float>"), "k", "dim", "e", 64)
+    v = {r["k"]: r["v"] for r in df.collect()}
+    assert set(v) == set(range(120)) and v[3] == pytest.approx([0.125] * 64)  # of two vectors of a key the greatest
+    got = []
+    for wave in (3, 4000):
+        monkeypatch.setattr(neighbours, "WAVE", wave)
+        got.append(sorted(map(tuple, neighbours.nearest(df, "k").collect())))
+    assert got[0] == got[1] and len(got[0]) > 100
+    monkeypatch.setattr(neighbours, "CROWDED_SENT", 0)  # repeated keys and equal vectors by shuffles
+    assert sorted(map(tuple, neighbours.nearest(df, "k").collect())) == got[0]

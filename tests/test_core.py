@@ -1,11 +1,12 @@
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from landmosaic.functions import geo, text
 from landmosaic.operators import keyed, planar, proximity, relational
-from landmosaic.runtime import ranked
+from landmosaic.runtime import durable, ranked
 
 
 def test_ranked_matches_a_window_with_ties_nulls_and_one_heavy_group(spark):
@@ -93,3 +94,15 @@ def test_upsert_and_null_safe_join(spark):
     new = spark.createDataFrame([(None, "c", 1)], "k int, v string, w int")
     assert sorted((str(r["k"]), r["v"]) for r in relational.upsert(old, new, ["k"]).collect()) == [("1", "a"), ("None", "c")]
     assert relational.null_safe_join(old, new.select("k", "w"), ["k"]).where("w = 1").count() == 1
+
+
+def test_a_durable_cut_leaves_no_shuffle_files(spark):
+    jvm, disk = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    size = lambda: sum(f.length() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_"))
+    had = size()
+    cut = durable(spark.range(200_000).select("id", F.expr("uuid()").alias("u")).repartition(4, "u"))
+    for _ in range(50):  # another thread removes them
+        if size() < had + 1_000_000:
+            break
+        time.sleep(0.1)
+    assert size() < had + 1_000_000 and cut.count() == 200_000
