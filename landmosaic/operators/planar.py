@@ -196,27 +196,31 @@ def nearest_box(points: DataFrame, key: str, boxes: DataFrame, ref: str, size: f
     cells as in :func:`nearest_distance`: a box within s of a point covers one
     of the 3 x 3 cells of size s around it, so a distance up to s is final.
     Each round looks only at boxes in cells that open points still ask for.
+    A first round looks for boxes that hold a point, in the point's own cell.
+    Points at one place are asked once, and of equal boxes only the least ref.
     """
-    todo, done = durable(points.select(F.col(key).alias("k"), "x", "y")), None
+    places = durable(points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min(key).alias("k")))
+    todo, done = places.select("k", "x", "y"), None
     sides = [F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
-    base = boxes.select(F.col(ref).alias("ref"), *sides)
+    base = durable(boxes.groupBy(*sides).agg(F.min(ref).alias("ref")))
     dx = F.greatest(F.lit(0.0), F.col("_xmin") - F.col("x"), F.col("x") - F.col("_xmax"))
     dy = F.greatest(F.lit(0.0), F.col("_ymin") - F.col("y"), F.col("y") - F.col("_ymax"))
-    for i in range(rounds):
+    for i in range(-1, rounds):
         n = todo.count()
         if not n:
             break
-        s = size * 2**i
-        around = _around(todo, s)
+        s = size * 2 ** max(0, i)
+        around, final = (todo.withColumns({"cx": cell("x", s), "cy": cell("y", s)}), 0.0) if i < 0 else (_around(todo, s), s)
         covers = base.withColumn("cx", F.explode(F.sequence(cell("_xmin", s), cell("_xmax", s)))).withColumn("cy", F.explode(F.sequence(cell("_ymin", s), cell("_ymax", s))))
         best = covers.join(F.broadcast(around) if n <= OPEN_SENT else around, ["cx", "cy"]).withColumn("d", F.hypot(dx, dy)).groupBy("k").agg(F.min(F.struct("d", "ref")).alias("b"))
-        hit = durable(todo.join(best.where(F.col("b.d") <= s), "k", "left"))
+        hit = durable(todo.join(best.where(F.col("b.d") <= final), "k", "left"))
         found = hit.where("b IS NOT NULL").select("k", "b.ref", "b.d")
         done = found if done is None else done.unionByName(found)
         todo = hit.where("b IS NULL").select("k", "x", "y")
     kind = dict(boxes.dtypes)[ref]
     rest = todo.select("k", F.lit(None).cast(kind).alias("ref"), F.lit(None).cast("double").alias("d"))
-    return (rest if done is None else done.unionByName(rest)).toDF(key, ref, "distance")
+    by_place = places.join(rest if done is None else done.unionByName(rest), "k").select("x", "y", F.col("ref").alias("_ref"), "d")
+    return points.select(key, "x", "y").join(by_place, ["x", "y"], "left").select(key, F.col("_ref").alias(ref), F.col("d").alias("distance"))
 
 
 def dissolved_area(boxes: DataFrame, group: str, size: float) -> DataFrame:

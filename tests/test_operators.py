@@ -275,3 +275,13 @@ def test_osm_files(spark, tmp_path):
     got = {(r["kind"], r["osm_id"]): r for r in files.osm_objects(files.binary_files(spark, str(tmp_path), "*.pbf"), ["amenity", "highway"]).collect()}
     assert set(got) == {("node", 10), ("way", 77)} and got["way", 77]["refs"] == [12, 10, 15] and got["node", 10]["tags"] == {"amenity": "cafe", "name": "가게"}
     assert (got["node", 10]["lon"], got["node", 10]["lat"]) == pytest.approx((127.0, 37.5))
+
+
+def test_nearest_boxes_ask_for_a_place_once(spark, monkeypatch):
+    rows, durable = [], planar.durable
+    monkeypatch.setattr(planar, "durable", lambda d: (o := durable(d), rows.append(o.count()))[0])
+    pts = spark.createDataFrame([(i, float(i % 4) * 50, 1.0) for i in range(400)] + [(900, None, 1.0)], "p int, x double, y double")
+    box = spark.createDataFrame([(i, float(i % 3) * 50, 0.0, float(i % 3) * 50 + 10, 2.0) for i in range(300, 0, -1)], "id int, xmin double, ymin double, xmax double, ymax double")
+    got = {r["p"]: (r["id"], r["distance"]) for r in planar.nearest_box(pts, "p", box, "id", 5.0).collect()}
+    near = {0: (3, 0.0), 1: (1, 0.0), 2: (2, 0.0), 3: (2, 40.0)}
+    assert got == {i: near[i % 4] for i in range(400)} | {900: (None, None)} and max(rows) <= 5
