@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from landmosaic.functions.text import truthy, unit_hash
-from landmosaic.operators.planar import cell, line_points, thin
-from landmosaic.runtime import ranked
+from landmosaic.operators.planar import KEPT_SENT, cell, line_count, line_points, thin
+from landmosaic.runtime import durable, ranked, width
 
 #: Ranks of the road classes that are sampled.
 ROAD_RANKS = {"motorway": 1, "trunk": 2, "primary": 3, "secondary": 4, "tertiary": 5, "residential": 6, "living_street": 7, "road": 8, "unclassified": 9}
@@ -126,9 +130,40 @@ def road_network(roads: DataFrame, box: tuple[float, float, float, float], ranks
 
 
 def road_candidates(network: DataFrame, spacing: float) -> DataFrame:
-    """Regular points along the roads, numbered from 1 by road and distance as candidate_id."""
-    p = line_points(network, "x0", "y0", "x1", "y1", spacing)
-    return ranked(p, ["source_road_id", "distance"]).withColumn("candidate_id", F.col("rank0") + 1).drop("rank0")
+    """Regular points along the roads, numbered from 1 by road and distance as candidate_id.
+
+    The roads are put in order, not their points: a road's first number is one
+    more than the points of all roads before it. Roads that share an id take
+    turns by distance, so only their points are ranked.
+    """
+    n = line_count("x0", "y0", "x1", "y1", spacing)[1]
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            after = total + np.cumsum(b.column(b.num_columns - 1).to_numpy())
+            total = int(after[-1]) if len(after) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(after)], names=[*b.schema.names, "_after"])
+
+    placed = durable(network.withColumn("_n", n.cast("bigint")).where("_n >= 1"))  # ranges are sampled first, which would cut the roads twice
+    placed = placed.repartitionByRange(width(placed), "source_road_id").sortWithinPartitions("source_road_id")
+    schema = StructType([*placed.schema.fields, StructField("_after", LongType())])
+    placed = durable(placed.mapInArrow(before, schema).withColumn("_pid", F.spark_partition_id()))
+    # one row per partition
+    runs = placed.groupBy("_pid").agg(F.sum("_n").alias("_s")).select("_pid", F.expr("coalesce(sum(_s) OVER (ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_offset"))
+    roads = placed.join(F.broadcast(runs), "_pid").withColumn("_before", F.col("_offset") + F.col("_after") - F.col("_n"))
+    number = F.col("_before") + F.round(F.col("distance") / spacing + 0.5).cast("bigint")
+    helpers = ("_pid", "_n", "_after", "_offset", "_before")
+    points = lambda d: line_points(d, "x0", "y0", "x1", "y1", spacing)
+    several = durable(placed.groupBy(F.col("source_road_id").alias("_id")).agg(F.count(F.lit(1)).alias("_roads"), F.min(F.col("_after") - F.col("_n")).alias("_start")).where("_roads > 1").drop("_roads"))
+    if not several.limit(1).count():
+        return points(roads).withColumn("candidate_id", number).drop(*helpers)
+    same = F.col("source_road_id").eqNullSafe(F.col("_id"))
+    alone = points(roads.join(several, same, "left_anti")).withColumn("candidate_id", number)
+    turns = ranked(points(roads.join(several, same)), ["source_road_id", "distance"])
+    first = turns.groupBy(F.col("source_road_id").alias("_id")).agg(F.min("rank0").alias("_first"))
+    turns = turns.drop("_id").join(first, same).withColumn("candidate_id", F.col("_offset") + F.col("_start") + F.col("rank0") - F.col("_first") + 1)
+    return alone.drop(*helpers).unionByName(turns.drop("rank0", "_id", "_start", "_first", *helpers))
 
 
 def sample_roads(roads: DataFrame, box: tuple[float, float, float, float], spacing: float, apart: float, most: int, seed: int, grid: float) -> DataFrame:
@@ -137,9 +172,12 @@ def sample_roads(roads: DataFrame, box: tuple[float, float, float, float], spaci
     Returns point_id (in the order of acceptance), grid_x, grid_y,
     highway_class, sampled_rank, x, y, source_road_id and the settings.
     """
-    c = road_candidates(road_network(roads, box), spacing).withColumn("_u", unit_hash(str(seed), "candidate_id"))
+    network = road_network(roads, box).select("source_road_id", "highway_class", "sampled_rank", "x0", "y0", "x1", "y1")
+    c = road_candidates(network, spacing).withColumn("_u", unit_hash(str(seed), "candidate_id"))
     kept = thin(c, "candidate_id", "_u", apart).select("candidate_id", "_u")
-    kept = kept.orderBy("_u", "candidate_id").limit(most)
+    kept = durable(kept.orderBy("_u", "candidate_id").limit(most))
+    if most <= KEPT_SENT * 4:
+        kept = F.broadcast(kept)
     out = ranked(c.drop("_u").join(kept, "candidate_id"), ["_u", "candidate_id"])
     return out.select(
         (F.col("rank0") + 1).alias("point_id"), cell("x", grid).alias("grid_x"), cell("y", grid).alias("grid_y"), "highway_class", "sampled_rank", "x", "y", "source_road_id",

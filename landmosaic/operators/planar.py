@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landmosaic.runtime import durable
+from landmosaic.runtime import durable, width
 
 
 def _next(r: Column) -> Column:
@@ -93,10 +93,15 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1))
 
 
+def line_count(x0: str, y0: str, x1: str, y1: str, spacing: float) -> tuple[Column, Column]:
+    """Length of a straight line, and number of its points by :func:`line_points`."""
+    length = F.hypot(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0))
+    return length, F.floor(length / spacing + F.lit(0.5)).cast("int")
+
+
 def line_points(df: DataFrame, x0: str, y0: str, x1: str, y1: str, spacing: float) -> DataFrame:
     """Points at s/2, 3s/2, ... up to the end of each straight line; none on a line shorter than s/2. Adds distance, x, y."""
-    length = F.hypot(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0))
-    n = F.floor(length / spacing + F.lit(0.5)).cast("int")
+    length, n = line_count(x0, y0, x1, y1, spacing)
     d = df.withColumns({"_l": length, "_n": n}).where("_n >= 1").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = (F.col("_i") + 0.5) * spacing
     t = F.least(F.lit(1.0), at / F.col("_l"))
@@ -253,16 +258,69 @@ def dissolved_area(boxes: DataFrame, group: str, size: float) -> DataFrame:
     return per.groupBy("g").agg(F.sum("area").alias("area")).toDF(group, "area")
 
 
+#: Thinning: points of the fullest cell that a batch should hold, kept points that are broadcast (under 9 cells each), and points whose priorities place the end of a batch.
+BATCH_PLACES, KEPT_SENT, PROBED = 4, 100_000, 20_000
+
+
 def thin(points: DataFrame, key: str, priority: str, spacing: float) -> DataFrame:
     """The points that greedy thinning keeps: in order of priority, each at least ``spacing`` from all kept before.
 
+    A batch of the first points by priority is thinned by itself, as no later
+    point matters to it; then all points near those it keeps go, and the next
+    batch is taken from what is left. A cell in which any two points are near
+    each other keeps one at most, so a batch that takes a few points of the
+    fullest cell settles that cell: the work grows with the points, not with
+    their pairs, and few batches do. Nothing is left out: the last batch is
+    all that is left. ``points`` is read several times, so it must be the same
+    each time; of what it holds only what a batch leaves is written.
+    """
+    todo = points.select(F.col(key).alias("k"), F.col(priority).alias("p"), "x", "y")
+    side = spacing / 1.5
+    kept = None
+    while True:
+        n, full = _fullest(todo, side)
+        batch, last = todo, full <= 2 * BATCH_PLACES
+        if not last:
+            some = todo.where(F.pmod(F.xxhash64("k"), F.lit(max(1, n // PROBED))) == 0).select("p")
+            probed = sorted((r["p"] for r in some.collect()), key=lambda v: (v is not None, v))
+            if probed:
+                end = probed[min(len(probed) - 1, int(len(probed) * BATCH_PLACES / full))]
+                batch = todo.where(F.col("p").isNull() if end is None else F.coalesce(F.col("p") <= F.lit(end), F.lit(True)))
+        win = _thinned(batch, spacing)
+        kept = win if kept is None else kept.unionByName(win)
+        if last:
+            return kept.select(F.col("k").alias(key), F.col("p").alias(priority), "x", "y")
+        todo = durable(_apart(todo, win, spacing))
+
+
+def _fullest(points: DataFrame, side: float) -> tuple[int, int]:
+    """Number of points that have a place, and the most in a cell."""
+    r = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(cell("x", side), cell("y", side)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return r[0] or 0, r[1] or 0
+
+
+def _apart(points: DataFrame, kept: DataFrame, spacing: float) -> DataFrame:
+    """The points that are no kept ones and not near any."""
+    one = lambda cx, cy: F.shiftleft(cx, 32) + cy
+    near = _around(kept.select("x", "y"), spacing).select(F.col("x").alias("o_x"), F.col("y").alias("o_y"), one(F.col("cx"), F.col("cy")).alias("o_c"))
+    if kept.count() <= KEPT_SENT:
+        near = F.broadcast(near)
+    close = (F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2 < spacing**2
+    left = points.join(near, (one(cell("x", spacing), cell("y", spacing)) == F.col("o_c")) & close, "left_anti")
+    placeless = F.col("x").isNull() | F.col("y").isNull()
+    return left.where(~placeless).unionByName(left.where(placeless).join(kept.where(placeless).select("k"), "k", "left_anti"))
+
+
+def _thinned(points: DataFrame, spacing: float) -> DataFrame:
+    """(k, p, x, y) of the points that greedy thinning keeps, by comparing all that are near each other.
+
     Rounds instead of a sequential pass: a point whose priority is the least
     among the undecided points near it is kept, and points near it go. For
     fixed priorities this gives the very set of the sequential pass. Each
     round is an equi-join on cells; about log(n) rounds do.
     """
     cells = lambda d: d.withColumns({"cx": cell("x", spacing), "cy": cell("y", spacing)})
-    todo = durable(cells(points.select(F.col(key).alias("k"), F.col(priority).alias("p"), "x", "y")))
+    todo = durable(cells(points))
     kept = None
     while True:
         around = todo.withColumn("nx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("ny", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
@@ -276,7 +334,7 @@ def thin(points: DataFrame, key: str, priority: str, spacing: float) -> DataFram
         lose = near.join(win.select(F.col("k").alias("o_k")), "o_k", "left_semi").select("k").distinct()
         todo = durable(todo.join(win.select("k"), "k", "left_anti").join(lose, "k", "left_anti"))
         if not todo.limit(1).count():
-            return kept.select(F.col("k").alias(key), F.col("p").alias(priority), "x", "y")
+            return durable(kept.select("k", "p", "x", "y").coalesce(width(points)))
 
 
 def quantile_bin(c: str, k: int, total: int) -> Column:

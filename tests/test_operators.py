@@ -285,3 +285,25 @@ def test_nearest_boxes_ask_for_a_place_once(spark, monkeypatch):
     got = {r["p"]: (r["id"], r["distance"]) for r in planar.nearest_box(pts, "p", box, "id", 5.0).collect()}
     near = {0: (3, 0.0), 1: (1, 0.0), 2: (2, 0.0), 3: (2, 40.0)}
     assert got == {i: near[i % 4] for i in range(400)} | {900: (None, None)} and max(rows) <= 5
+
+
+def test_thinning_takes_batches_of_crowded_points(spark, monkeypatch):
+    import random
+
+    rows, durable, rnd = [], planar.durable, random.Random(4)
+    monkeypatch.setattr(planar, "durable", lambda d: (o := durable(d), rows.append(o.count()))[0])
+    pts = [(i, rnd.random(), rnd.random() * 60, rnd.random() * 60) for i in range(1500)] + [(2000 + i, rnd.random(), 500.0, 500.0) for i in range(500)] + [(3000, 0.5, None, 1.0)]
+    got = {r["k"] for r in planar.thin(spark.createDataFrame(pts, "k int, p double, x double, y double"), "k", "p", 20.0).collect()}
+    kept = []
+    for k, _, x, y in sorted((p for p in pts if p[2] is not None), key=lambda r: (r[1], r[0])):
+        if all((x - a) ** 2 + (y - b) ** 2 >= 400 for _, a, b in kept):
+            kept.append((k, x, y))
+    assert got == {k for k, _, _ in kept} | {3000} and max(rows) < 1000
+
+
+def test_candidates_of_roads_with_one_id_take_turns(spark):
+    rows = [(1, 0.0, 35.0), (2, 0.0, 20.0), (2, 100.0, 140.0), (None, 0.0, 10.0), (3, 0.0, 10.0), (None, 50.0, 60.0)]
+    net = spark.createDataFrame([(i, a, 5.0, b, 5.0) for i, a, b in rows], "source_road_id int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r["candidate_id"], r["source_road_id"] or 0, r["distance"]) for r in grids.road_candidates(net, 10.0).collect())
+    want = sorted((i or 0, (j + 0.5) * 10) for i, a, b in rows for j in range(int((b - a) / 10 + 0.5)))
+    assert got == [(n + 1, i, d) for n, (i, d) in enumerate(want)]
