@@ -9,16 +9,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+try:  # no part of the library's interface, but quicker with texts of a few bytes
+    from _sha2 import sha256
+except ImportError:
+    from hashlib import sha256
 
 from landmosaic.functions.text import truthy, unit_hash
-from landmosaic.operators.planar import KEPT_SENT, cell, line_count, line_points, thin
+from landmosaic.operators.planar import KEPT_SENT, Near, cell, line_count, line_points, thin, thin_by_tiles, tile_counts, tile_side
 from landmosaic.runtime import durable, ranked, width
 
 #: Ranks of the road classes that are sampled.
 ROAD_RANKS = {"motorway": 1, "trunk": 2, "primary": 3, "secondary": 4, "tertiary": 5, "residential": 6, "living_street": 7, "road": 8, "unclassified": 9}
 #: Parts of a boundary are few; more would have to be joined.
 MAX_PARTS = 10_000
+#: Road samples: points of the fullest tile and, for each point that is wanted, of a batch; points that are made at once.
+TILE_FILL, BATCH_FILL, PIECE = 14_400, 8, 200_000
 
 
 def anchors(spark: SparkSession, x: tuple[float, float], y: tuple[float, float], stride: float, size: float) -> DataFrame:
@@ -122,21 +129,27 @@ def road_network(roads: DataFrame, box: tuple[float, float, float, float], ranks
         low.append(F.coalesce(F.least(a, b), F.lit(0.0)))
         high.append(F.coalesce(F.greatest(a, b), F.lit(1.0)))
         outside = outside | ((d == 0) & ((F.col(at) < lo) | (F.col(at) > hi)))
-    r = r.where(~outside).withColumns({"_t0": F.greatest(*low), "_t1": F.least(*high)}).where("_t0 < _t1")
+    # exploded, as filters on plain columns would hold all of their expressions again, several times over
+    ends = F.explode(F.array(F.struct(F.greatest(*low).alias("_t0"), F.least(*high).alias("_t1"))))
+    r = r.where(~outside).withColumn("_t", ends).select("*", "_t.*").drop("_t").where("_t0 < _t1")
     x, y = (lambda t: F.col("x0") + F.col(t) * dx), (lambda t: F.col("y0") + F.col(t) * dy)
     r = r.withColumn("_p", F.struct(x("_t0").alias("x0"), y("_t0").alias("y0"), x("_t1").alias("x1"), y("_t1").alias("y1")))
     r = r.select(*[c for c in roads.columns if c not in ("x0", "y0", "x1", "y1")], "sampled_rank", "_p.*")
     return r.withColumn("length_m", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("length_m > 0")
 
 
-def road_candidates(network: DataFrame, spacing: float) -> DataFrame:
-    """Regular points along the roads, numbered from 1 by road and distance as candidate_id.
+#: What :func:`_numbered` adds to the roads.
+_HELPERS = ("_pid", "_l", "_n", "_after", "_offset", "_before")
+
+
+def _numbered(network: DataFrame, spacing: float) -> tuple[DataFrame, DataFrame | None]:
+    """Roads whose points are numbered from _before + 1, and the numbered points of the roads that share an id (None if no roads do).
 
     The roads are put in order, not their points: a road's first number is one
     more than the points of all roads before it. Roads that share an id take
     turns by distance, so only their points are ranked.
     """
-    n = line_count("x0", "y0", "x1", "y1", spacing)[1]
+    length, n = line_count("x0", "y0", "x1", "y1", spacing)
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -145,25 +158,126 @@ def road_candidates(network: DataFrame, spacing: float) -> DataFrame:
             total = int(after[-1]) if len(after) else total
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(after)], names=[*b.schema.names, "_after"])
 
-    placed = durable(network.withColumn("_n", n.cast("bigint")).where("_n >= 1"))  # ranges are sampled first, which would cut the roads twice
+    placed = durable(network.withColumn("_l", length).withColumn("_n", n.cast("bigint")).where("_n >= 1"))  # ranges are sampled first, which would cut the roads twice
     placed = placed.repartitionByRange(width(placed), "source_road_id").sortWithinPartitions("source_road_id")
     schema = StructType([*placed.schema.fields, StructField("_after", LongType())])
     placed = durable(placed.mapInArrow(before, schema).withColumn("_pid", F.spark_partition_id()))
     # one row per partition
     runs = placed.groupBy("_pid").agg(F.sum("_n").alias("_s")).select("_pid", F.expr("coalesce(sum(_s) OVER (ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_offset"))
     roads = placed.join(F.broadcast(runs), "_pid").withColumn("_before", F.col("_offset") + F.col("_after") - F.col("_n"))
-    number = F.col("_before") + F.round(F.col("distance") / spacing + 0.5).cast("bigint")
-    helpers = ("_pid", "_n", "_after", "_offset", "_before")
-    points = lambda d: line_points(d, "x0", "y0", "x1", "y1", spacing)
     several = durable(placed.groupBy(F.col("source_road_id").alias("_id")).agg(F.count(F.lit(1)).alias("_roads"), F.min(F.col("_after") - F.col("_n")).alias("_start")).where("_roads > 1").drop("_roads"))
     if not several.limit(1).count():
-        return points(roads).withColumn("candidate_id", number).drop(*helpers)
+        return roads, None
     same = F.col("source_road_id").eqNullSafe(F.col("_id"))
-    alone = points(roads.join(several, same, "left_anti")).withColumn("candidate_id", number)
-    turns = ranked(points(roads.join(several, same)), ["source_road_id", "distance"])
+    turns = ranked(line_points(roads.join(several, same), "x0", "y0", "x1", "y1", spacing), ["source_road_id", "distance", "x", "y"])
     first = turns.groupBy(F.col("source_road_id").alias("_id")).agg(F.min("rank0").alias("_first"))
     turns = turns.drop("_id").join(first, same).withColumn("candidate_id", F.col("_offset") + F.col("_start") + F.col("rank0") - F.col("_first") + 1)
-    return alone.drop(*helpers).unionByName(turns.drop("rank0", "_id", "_start", "_first", *helpers))
+    return roads.join(several, same, "left_anti"), turns.drop("rank0", "_id", "_start", "_first", *_HELPERS)
+
+
+def road_candidates(network: DataFrame, spacing: float) -> DataFrame:
+    """Regular points along the roads, numbered from 1 by road and distance as candidate_id."""
+    roads, turns = _numbered(network, spacing)
+    number = F.col("_before") + F.round(F.col("distance") / spacing + 0.5).cast("bigint")
+    alone = line_points(roads, "x0", "y0", "x1", "y1", spacing).withColumn("candidate_id", number).drop(*_HELPERS)
+    return alone if turns is None else alone.unionByName(turns)
+
+
+def _drawn(b: pa.RecordBatch, spacing: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The points of numbered roads as in :func:`line_points`: row of the road, candidate_id, x, y; in pieces, however long a road is."""
+    n, before, length, x0, y0, x1, y1 = (b.column(c).to_numpy() for c in ("_n", "_before", "_l", "x0", "y0", "x1", "y1"))
+    ends = np.cumsum(n)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
+        j = np.arange(at, min(at + PIECE, int(ends[-1])))
+        row = np.searchsorted(ends, j, side="right")
+        i = j - (ends[row] - n[row])
+        t = np.minimum(1.0, (i + 0.5) * spacing / length[row])
+        yield row, before[row] + i + 1, x0[row] + t * (x1[row] - x0[row]), y0[row] + t * (y1[row] - y0[row])
+
+
+def _hashed(seed: int, ids: np.ndarray) -> np.ndarray:
+    """:func:`unit_hash` of seed and number."""
+    start = f"{seed}|".encode()
+    return np.frombuffer(b"".join([sha256(start + b"%d" % k).digest() for k in ids.tolist()]), "<u8")[::4].astype(float) / 2.0**64
+
+
+def _road_points(roads: DataFrame, spacing: float, seed: int, held, apart: float, low: float, high: float) -> DataFrame:
+    """Points (k, u, x, y) of the roads with low < u <= high that are not near the kept ones held; hashed are only the latter."""
+    stay = [c for c in roads.columns if c not in (*_HELPERS, "x0", "y0", "x1", "y1")]
+    schema = StructType([StructField("k", LongType()), *[StructField(c, DoubleType()) for c in "uxy"], *[roads.schema[c] for c in stay]])
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Near(*held.value, apart)
+        for b in batches:
+            for row, k, x, y in _drawn(b, spacing):
+                left = near.others(x, y)
+                u = _hashed(seed, k[left])
+                took = (u > low) & (u <= high)
+                left = left[took]
+                if len(left):
+                    of = pa.array(row[left])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[left]), pa.array(u[took]), pa.array(x[left]), pa.array(y[left]), *[b.column(c).take(of) for c in stay]], names=schema.names)
+
+    return roads.mapInArrow(points, schema)
+
+
+def _road_tiles(roads: DataFrame, spacing: float, apart: float) -> DataFrame:
+    """x and y of a point in a tile of the thinning, and n points of the roads that lie there; several rows a tile."""
+
+    side = tile_side(apart)
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, x, y in _drawn(b, spacing):
+                _, one, n = np.unique(np.floor(x / side).astype(np.int64) * (1 << 32) + np.floor(y / side).astype(np.int64), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[one]), pa.array(y[one]), pa.array(n.astype(np.int64))], names=["x", "y", "n"])
+
+    return roads.mapInArrow(tiles, "x double, y double, n bigint")
+
+
+def _thinned_roads(roads: DataFrame, spacing: float, apart: float, most: int, seed: int) -> DataFrame:
+    """(k, u, x, y, ...) of the points of numbered roads that greedy thinning in the order of their hashes keeps, of which the first ``most`` are sure to be there.
+
+    A batch of the first points by hash is thinned by itself, as no later
+    point matters to it; then the points near those it keeps go, and the next
+    batch is taken from what is left. Points are made from the roads where
+    they are needed: for the first batch, and for what it leaves, which is
+    little. A batch of BATCH_FILL points for each one wanted keeps as many as
+    are wanted, which ends it, or the roads are so crowded that nearly all
+    points go.
+    """
+    sc, kept, todo, found, low = roads.sparkSession.sparkContext, None, None, 0, -1.0
+    while True:
+        n, full = tile_counts(_road_tiles(roads, spacing, apart), apart, F.col("n")) if todo is None else tile_counts(todo, apart)
+        share = min(TILE_FILL / max(1, full), BATCH_FILL * max(1, most) / max(1, n))
+        high = 1.0 if share > 0.5 else max(low, 0.0) + (1.0 - max(low, 0.0)) * share
+        if todo is None:
+            none = sc.broadcast((np.empty(0), np.empty(0)))
+            batch = durable(_road_points(roads, spacing, seed, none, apart, low, high))
+        else:
+            batch = todo.where(F.col("u") <= high)
+        win = thin_by_tiles(batch, apart)
+        found += win.count()
+        some = batch.join(win.select("k"), "k", "left_semi")
+        kept = some if kept is None else kept.unionByName(some)
+        if high >= 1.0 or found >= most:
+            return kept
+        at = win.select("x", "y").toPandas()  # fewer than ``most``
+        held = sc.broadcast((at["x"].to_numpy(), at["y"].to_numpy()))
+        todo = durable(_road_points(roads, spacing, seed, held, apart, high, 1.0) if todo is None else _far(todo.where(F.col("u") > high), held, apart))
+        held.unpersist()
+        low = high
+
+
+def _far(points: DataFrame, held, apart: float) -> DataFrame:
+    """The points that are not near the kept ones held."""
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Near(*held.value, apart)
+        for b in batches:
+            yield b.take(pa.array(near.others(b.column("x").to_numpy(), b.column("y").to_numpy())))
+
+    return points.mapInArrow(others, points.schema)
 
 
 def sample_roads(roads: DataFrame, box: tuple[float, float, float, float], spacing: float, apart: float, most: int, seed: int, grid: float) -> DataFrame:
@@ -173,12 +287,18 @@ def sample_roads(roads: DataFrame, box: tuple[float, float, float, float], spaci
     highway_class, sampled_rank, x, y, source_road_id and the settings.
     """
     network = road_network(roads, box).select("source_road_id", "highway_class", "sampled_rank", "x0", "y0", "x1", "y1")
-    c = road_candidates(network, spacing).withColumn("_u", unit_hash(str(seed), "candidate_id"))
-    kept = thin(c, "candidate_id", "_u", apart).select("candidate_id", "_u")
-    kept = durable(kept.orderBy("_u", "candidate_id").limit(most))
     if most <= KEPT_SENT * 4:
-        kept = F.broadcast(kept)
-    out = ranked(c.drop("_u").join(kept, "candidate_id"), ["_u", "candidate_id"])
+        numbered, turns = _numbered(network, spacing)
+        if turns is not None:  # each a road of one point
+            same = {"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y"), "_l": F.lit(1.0), "_n": F.lit(1).cast("bigint"), "_before": F.col("candidate_id") - 1}
+            numbered = numbered.drop("_pid", "_after", "_offset").unionByName(turns.withColumns(same).drop("x", "y", "distance", "candidate_id"))
+            numbered = durable(numbered)
+        out = ranked(_thinned_roads(numbered, spacing, apart, most, seed).orderBy("u", "k").limit(most), ["u", "k"])
+    else:
+        c = road_candidates(network, spacing).withColumn("_u", unit_hash(str(seed), "candidate_id"))
+        kept = thin(c, "candidate_id", "_u", apart).select("candidate_id", "_u")
+        kept = durable(kept.orderBy("_u", "candidate_id").limit(most))
+        out = ranked(c.drop("_u").join(kept, "candidate_id"), ["_u", "candidate_id"])
     return out.select(
         (F.col("rank0") + 1).alias("point_id"), cell("x", grid).alias("grid_x"), cell("y", grid).alias("grid_y"), "highway_class", "sampled_rank", "x", "y", "source_road_id",
         F.lit(seed).alias("candidate_seed"), F.lit(float(spacing)).alias("candidate_spacing_m"), F.lit(float(apart)).alias("candidate_min_spacing_m"),

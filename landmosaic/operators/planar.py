@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -337,6 +338,122 @@ def _thinned(points: DataFrame, spacing: float) -> DataFrame:
             return durable(kept.select("k", "p", "x", "y").coalesce(width(points)))
 
 
+class Near:
+    """The points kept so far, which are ``spacing`` apart, to ask of many points whether they are near any.
+
+    A cell of a third less than the spacing holds one of them at most, and
+    points near it lie two cells away at most. The cells are wrapped to a torus
+    that is no larger than SIDE each way; those that meet there lie in layers.
+    """
+
+    SIDE = 2048
+    STEPS = sorted(((i, j) for i in range(-2, 3) for j in range(-2, 3)), key=lambda s: s[0] ** 2 + s[1] ** 2)
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, spacing: float) -> None:
+        self.spacing, self.layers = spacing, []
+        if not len(x):
+            return
+        cx, cy = self._cells(x, y)
+        long = lambda c: int(min(self.SIDE, 2 ** math.ceil(math.log2(int(c.max()) - int(c.min()) + 6))))
+        self.mx, self.my = long(cx), long(cy)
+        at = (cx & (self.mx - 1)) * self.my + (cy & (self.my - 1))
+        order = np.argsort(at, kind="stable")
+        at, x, y = at[order], x[order], y[order]
+        layer = np.arange(len(at)) - np.searchsorted(at, at)
+        for i in range(int(layer.max()) + 1):
+            px, py = (np.full(self.mx * self.my, np.inf) for _ in range(2))
+            px[at[layer == i]], py[at[layer == i]] = x[layer == i], y[layer == i]
+            self.layers.append((px, py))
+
+    def _cells(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side = self.spacing / 1.5
+        return np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
+
+    def others(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places, in the arrays, of the points that aren't near any."""
+        left = np.arange(len(x))
+        if not self.layers:
+            return left
+        cx, cy = self._cells(x, y)
+        for i, j in self.STEPS:
+            at = ((cx + i) & (self.mx - 1)) * self.my + ((cy + j) & (self.my - 1))
+            far = np.ones(len(left), bool)
+            for px, py in self.layers:
+                far &= ~((x - px[at]) ** 2 + (y - py[at]) ** 2 < self.spacing**2)
+            left, x, y, cx, cy = (a[far] for a in (left, x, y, cx, cy))
+        return left
+
+
+#: Tiles of :func:`thin_by_tiles`, and the rim of others around each, in spacings.
+TILE, RIM = 40, 10
+
+
+def tile_side(spacing: float) -> float:
+    return TILE * spacing
+
+
+def thin_by_tiles(points: DataFrame, spacing: float) -> DataFrame:
+    """(k, u, x, y) of the points that greedy thinning in the order of u and k keeps; all four are numbers without null or NaN.
+
+    Each tile sees the points of a rim around it and takes them in order. What
+    depends on points that it doesn't see stays open; it is settled in a next
+    round, when the tiles around have settled theirs. The first of the open
+    points is always settled, and chains of points across a rim are rare, so
+    one or two rounds do. A tile is one task: take batches that fill no tile
+    too much (:func:`tile_counts`).
+    """
+    side, rim = tile_side(spacing), RIM * spacing
+    tiles = lambda v: F.explode(F.sequence(cell(F.col(v) - rim, side), cell(F.col(v) + rim, side)))
+
+    def settle(tile: pd.DataFrame) -> pd.DataFrame:
+        x, y = tile["x"].to_numpy(), tile["y"].to_numpy()
+        deep, own = np.ones(len(x), bool), np.ones(len(x), bool)
+        for v, t in ((x, tile["tx"].iloc[0]), (y, tile["ty"].iloc[0])):
+            deep &= (v >= t * side - rim + 2 * spacing) & (v < (t + 1) * side + rim - 2 * spacing)
+            own &= np.floor(v / side) == t
+        state = _in_order(tile["k"].to_numpy(), tile["u"].to_numpy(), x, y, tile["sure"].to_numpy(), deep, spacing)
+        return tile.assign(sure=state == 1)[own & (state > 0)].drop(columns=["tx", "ty"])
+
+    todo = points.select("k", "u", "x", "y", F.lit(False).alias("sure"))
+    while True:
+        seen = todo.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+        todo = durable(seen.groupBy("tx", "ty").applyInPandas(settle, "k bigint, u double, x double, y double, sure boolean"))
+        if not todo.where("NOT sure").limit(1).count():
+            return todo.drop("sure")
+
+
+def _in_order(k: np.ndarray, u: np.ndarray, x: np.ndarray, y: np.ndarray, sure: np.ndarray, deep: np.ndarray, spacing: float) -> np.ndarray:
+    """Of each point: 1 if it is kept, 0 if it goes, 2 if that depends on points that aren't here. ``sure`` ones are kept, around ``deep`` ones all are here."""
+    side, row, near = spacing / 1.5, 1 << 32, spacing**2
+    at = (np.floor(x / side).astype(np.int64) * row + np.floor(y / side).astype(np.int64)).tolist()
+    steps = [i * row + j for i, j in Near.STEPS]
+    state, kept, unsettled = np.zeros(len(k), np.int8), {}, defaultdict(list)
+    order = np.lexsort((k, u, ~sure))
+    xs, ys, sures, deeps = x.tolist(), y.tolist(), sure.tolist(), deep.tolist()
+    for i in order.tolist():
+        c, px, py = at[i], xs[i], ys[i]
+        if not sures[i]:
+            if c in kept:  # any two points of a cell are near each other
+                continue
+            around = [c + s for s in steps]
+            if any((px - q[0]) ** 2 + (py - q[1]) ** 2 < near for q in map(kept.get, around) if q):
+                continue
+            if not deeps[i] or any((px - q[0]) ** 2 + (py - q[1]) ** 2 < near for o in around if o in unsettled for q in unsettled[o]):
+                state[i] = 2
+                unsettled[c].append((px, py))
+                continue
+        state[i] = 1
+        kept[c] = (px, py)
+    return state
+
+
+def tile_counts(points: DataFrame, spacing: float, n: Column | None = None) -> tuple[int, int]:
+    """Number of points, and the most in a tile of :func:`thin_by_tiles`; ``n`` is the number of points that a row stands for."""
+    side = tile_side(spacing)
+    r = points.groupBy(cell("x", side), cell("y", side)).agg(F.sum(F.lit(1) if n is None else n).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return r[0] or 0, r[1] or 0
+
+
 def quantile_bin(c: str, k: int, total: int) -> Column:
     """floor((rank - 1) k / n); not ntile. The rank comes from :func:`landmosaic.runtime.ranked` as rank0."""
     return F.floor(F.col(c) * k / total).cast("bigint")

@@ -307,3 +307,64 @@ def test_candidates_of_roads_with_one_id_take_turns(spark):
     got = sorted((r["candidate_id"], r["source_road_id"] or 0, r["distance"]) for r in grids.road_candidates(net, 10.0).collect())
     want = sorted((i or 0, (j + 0.5) * 10) for i, a, b in rows for j in range(int((b - a) / 10 + 0.5)))
     assert got == [(n + 1, i, d) for n, (i, d) in enumerate(want)]
+
+
+def _crowded_roads(spark):
+    import random
+
+    rnd, at = random.Random(9), lambda: float(rnd.randrange(-20, 420))
+    rows = [(rnd.choice([None, *range(i, i + 3)]) if i % 7 == 0 else i, "primary", None, x, y, x + rnd.random() * 120, y + rnd.choice([0.0, 0.0, 50.0])) for i in range(120) for x, y in [(at(), at())]]
+    return spark.createDataFrame(rows, "source_road_id int, highway_class string, tunnel string, x0 double, y0 double, x1 double, y1 double"), (0.0, 0.0, 400.0, 400.0)
+
+
+@pytest.mark.parametrize("most", [10_000, 20])
+def test_road_sample_equals_the_sequential_pass(spark, monkeypatch, most):
+    roads, box = _crowded_roads(spark)
+    c = grids.road_candidates(grids.road_network(roads, box), 2.0).select("candidate_id", "x", "y", text.unit_hash("7", "candidate_id").alias("u")).collect()
+    assert sorted(r["candidate_id"] for r in c) == list(range(1, len(c) + 1)) and len(c) > 2000
+    kept = []
+    for r in sorted(c, key=lambda r: (r["u"], r["candidate_id"])):
+        if all((r["x"] - a) ** 2 + (r["y"] - b) ** 2 >= 400 for a, b in kept):
+            kept.append((r["x"], r["y"]))
+    cuts, durable = [], planar.durable
+    for m in (planar, grids):
+        monkeypatch.setattr(m, "durable", lambda d: (cuts.append(1), durable(d))[1])
+    for name, value in (("TILE", 3), ("RIM", 2)):
+        monkeypatch.setattr(planar, name, value, raising=False)
+    monkeypatch.setattr(grids, "TILE_FILL", 20, raising=False)
+    got = sorted((r["point_id"], r["x"], r["y"]) for r in grids.sample_roads(roads, box, 2.0, 20.0, most, 7, 500.0).collect())
+    assert got == [(i + 1, *p) for i, p in enumerate(kept[:most])] and len(kept) > 20
+    assert len(cuts) < 25  # few rounds, though these tiles are small and filled little
+
+
+def test_points_of_roads_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(grids, "PIECE", 7)
+    roads, _ = grids._numbered(spark.createDataFrame([(1, 0.0, 35.0), (2, 0.0, 4.0), (3, 0.0, 250.0)], "source_road_id int, x0 double, x1 double").selectExpr("*", "0D AS y0", "x1 * 0.3D AS y1"), 10.0)
+    b = roads.orderBy("source_road_id").toArrow().combine_chunks().to_batches()[0]
+    got = [(int(k), x, y) for _, ks, xs, ys in grids._drawn(b, 10.0) for k, x, y in zip(ks, xs.tolist(), ys.tolist())]
+    want = planar.line_points(roads, "x0", "y0", "x1", "y1", 10.0).orderBy("source_road_id", "distance").collect()
+    assert got == [(i + 1, r["x"], r["y"]) for i, r in enumerate(want)] and len(got) > 25
+
+
+def test_near_points_on_a_torus(monkeypatch):
+    monkeypatch.setattr(planar.Near, "SIDE", 8)
+    g = np.random.default_rng(3)
+    kept = np.array([(a * 12.0 + g.random(), b * 12.0) for a in range(-9, 9) for b in range(-4, 20)])
+    x, y = g.random(3000) * 300 - 150, g.random(3000) * 300 - 60
+    near = planar.Near(kept[:, 0], kept[:, 1], 8.0)
+    assert len(near.layers) > 1 and near.others(x, y).tolist() == [i for i in range(3000) if not ((x[i] - kept[:, 0]) ** 2 + (y[i] - kept[:, 1]) ** 2 < 64).any()]
+    assert planar.Near(np.empty(0), np.empty(0), 8.0).others(x, y).tolist() == list(range(3000))
+
+
+def test_filters_of_road_cuts_stay_short(spark):
+    roads, box = _crowded_roads(spark)
+    assert grids.road_network(roads, box)._jdf.queryExecution().optimizedPlan().toString().count("least(") < 10
+
+
+def test_road_sample_takes_few_cuts(spark, monkeypatch):
+    cuts, durable = [], planar.durable
+    for m in (planar, grids):
+        monkeypatch.setattr(m, "durable", lambda d: (cuts.append(1), durable(d))[1])
+    rows = [(i, "primary", None, 0.0, i * 3.0, 90.0, i * 3.0) for i in range(40)]
+    roads = spark.createDataFrame(rows, "source_road_id int, highway_class string, tunnel string, x0 double, y0 double, x1 double, y1 double")
+    assert grids.sample_roads(roads, (0.0, 0.0, 100.0, 100.0), 3.0, 20.0, 1000, 7, 500.0).count() > 10 and len(cuts) <= 6
